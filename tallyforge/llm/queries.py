@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, pieces
 
-QUERIES = {"op3_mix": mixing.op3_mix}
+QUERIES = {"op3_mix": mixing.op3_mix, "op7_pieces": pieces.op7_pieces}
 SQL = {"op3_mix": mixing.SQL}
