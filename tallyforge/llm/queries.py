@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces
+from . import mixing, pieces, quality
 
-QUERIES = {"op3_mix": mixing.op3_mix, "op7_pieces": pieces.op7_pieces}
-SQL = {"op3_mix": mixing.SQL}
+QUERIES = {"op3_mix": mixing.op3_mix, "op5_quality": quality.op5_quality, "op7_pieces": pieces.op7_pieces}
+SQL = {"op3_mix": mixing.SQL, "op5_quality": quality.SQL}
