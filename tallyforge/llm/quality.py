@@ -33,7 +33,7 @@ SPREAD = 3.0
 #: Ratio, numerator, denominator, margin, whether low values are bad as well.
 RATIOS = (
     ("symbols", "n_symbols", "n_words", 0.1, False),
-    ("repeats", "n_repeat_words", "n_words", 0.15, False),
+    ("repeats", "n_repeat_words", "n_words", 0.3, False),
     ("lines", "n_dup_lines", "n_lines", 0.25, False),
     ("length", "word_chars", "n_words", 2.0, True),
     ("capitals", "n_capitals", "word_chars", 0.15, False),
@@ -172,7 +172,7 @@ WITH a AS (
   SELECT level, lang, source, ratio, min(middle) FILTER (upto >= 0.25 * total) AS q25, min(middle) FILTER (upto >= 0.75 * total) AS q75, max(total) AS total FROM u GROUP BY ALL
 ), f AS (
   SELECT level, lang, source, max(total) AS total,
-    max(q75 + 3 * (q75 - q25) + 0.1) FILTER (ratio = 'symbols') AS symbols, max(q75 + 3 * (q75 - q25) + 0.15) FILTER (ratio = 'repeats') AS repeats,
+    max(q75 + 3 * (q75 - q25) + 0.1) FILTER (ratio = 'symbols') AS symbols, max(q75 + 3 * (q75 - q25) + 0.3) FILTER (ratio = 'repeats') AS repeats,
     max(q75 + 3 * (q75 - q25) + 0.25) FILTER (ratio = 'lines') AS lines, max(q75 + 3 * (q75 - q25) + 2.0) FILTER (ratio = 'length') AS high,
     max(q25 - 3 * (q75 - q25) - 2.0) FILTER (ratio = 'length') AS low, max(q75 + 3 * (q75 - q25) + 0.15) FILTER (ratio = 'capitals') AS capitals
   FROM q GROUP BY ALL HAVING max(total) >= 200 OR level = 2
