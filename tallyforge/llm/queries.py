@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, quality
+from . import mixing, pieces, quality, simhash
 
-QUERIES = {"op3_mix": mixing.op3_mix, "op5_quality": quality.op5_quality, "op7_pieces": pieces.op7_pieces}
+QUERIES = {"op3_mix": mixing.op3_mix, "op5_quality": quality.op5_quality, "op6_simhash": simhash.op6_simhash, "op7_pieces": pieces.op7_pieces}
 SQL = {"op3_mix": mixing.SQL, "op5_quality": quality.SQL}
