@@ -1,21 +1,57 @@
-"""A corpus pipeline of operators of tallyforge.llm; each stage's result is written and reread."""
+"""A corpus pipeline of operators of tallyforge.llm. Each stage's result is written as Parquet and reread.
+
+Documents that the quality rules reject go; of near-duplicates one stays; secrets are replaced in the texts; the
+sources are mixed to their target weights (a document may come twice or not at all); the rest is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.llm import mixing, pieces, quality, secrets, simhash
 from tallyforge.llm.common import save, table
-from tallyforge.llm.mixing import mix
 
+#: Sketches, trained trees and components aren't SQL; tests/llm/test_pipeline.py compares with a brute-force version.
 ORACLE_SQL = None
 
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+#: Differing bits at which documents are near-duplicates here: more than op6's two, for copies with many changed words.
+RADIUS = 5
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.first_of_each(docs, RADIUS)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redacted(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row a document of the mix: doc_id, lang, source, number of ids, the ids themselves and their digests."""
+    out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.model_path())
+    return out.select("doc_id", "lang", "source", "n_tokens", "piece_ids", "ids_sha256", "decoded_sha256")
+
+
 STAGES = [
-    ("mixing sources to target weights", lambda spark, docs, sf_dir: mix(docs)),
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", mixture),
+    ("SentencePiece encoding and decoding", encoding),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), "stage")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = save(stage(spark, docs, sf_dir), f"stage{k}")
     return docs

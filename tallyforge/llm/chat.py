@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, table
 
@@ -133,9 +134,8 @@ def format_records(records: DataFrame, value: str = "record", lenient: bool = Fa
     rest = [c for c in records.columns if c != value]
     added = ["turn", "formatted", "loss_begin", "loss_end"]
     records = records.select(*[F.col(f"`{c}`") for c in rest if c not in added], F.col(value))
-    schema = records.drop(value).schema
-    for c, kind in zip(added, ("bigint", "string", "bigint", "bigint")):
-        schema = schema.add(c, kind)
+    kinds = (T.LongType(), T.StringType(), T.LongType(), T.LongType())
+    schema = T.StructType([*records.drop(value).schema.fields, *[T.StructField(c, k) for c, k in zip(added, kinds)]])
     at = len(records.columns) - 1
 
     def run(batches):

@@ -24,6 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, table
 
@@ -300,9 +301,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: bool = True) ->
     prepare(docs.sparkSession)
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["piece_ids", "decoded"] * ids
     docs = docs.drop(*added)
-    schema = docs.schema.add("n_tokens", "bigint").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if ids:
-        schema = schema.add("piece_ids", "array<int>").add("decoded", "string")
+    kinds = [T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType()), T.StringType()]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, k) for c, k in zip(added, kinds)]])
     at = docs.columns.index(text)
 
     def run(batches):

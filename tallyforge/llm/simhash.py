@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked at a small Hamming distance by BK-trees.
 
 Equal fingerprints are one node, so copies are never expanded. Two fingerprints within the radius r differ in at
-most r of r + 2 blocks of bits, so they agree in two of the blocks: each fingerprint goes to one shard per pair
-of blocks, and a shard's fingerprints are linked by a BK-tree (children keyed by their distance from the parent;
+most r of r + k blocks of bits, so they agree in k of the blocks: each fingerprint goes to one shard per choice of
+k blocks (2 up to radius 2, else 3), and a shard's fingerprints are linked by a BK-tree (children keyed by their distance from the parent;
 a search follows only edges within the radius of its own distance). A shard's tree is sent to the task that holds
 its queries. Trees aren't broadcast: together they grow with the corpus. A shard above `SHARD` fingerprints is
 split again by two of the blocks of the bits that are left, so that no task gets more than 2 ** 16 fingerprints.
@@ -128,7 +128,7 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _sharded(fps: DataFrame, radius: int, masks: list[int]) -> DataFrame:
+def _sharded(fps: DataFrame, masks: list[int]) -> DataFrame:
     """(fp, ...) with shard: the number of a mask and the fingerprint's bits under it."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)]))
     return fps.withColumn("_m", each).select(*fps.columns, F.col("_m.k").alias("k"), F.col("_m.bits").alias("bits"))
@@ -176,9 +176,9 @@ def _linked(shards: DataFrame, radius: int, keys: list[str]) -> DataFrame:
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) that connect all within the radius."""
-    pairs = [(x, y) for x, y in combinations(_blocks(0, 64, radius + 2), 2)]
-    masks = [(x[1] << x[0]) | (y[1] << y[0]) for x, y in pairs]
-    shards = _sharded(fps.select("fp"), radius, masks)
+    agree = 2 if radius <= 2 else 3
+    masks = [sum(m << a for a, m in x) for x in combinations(_blocks(0, 64, radius + agree), agree)]
+    shards = _sharded(fps.select("fp"), masks)
     sizes = shards.groupBy("k", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     hot = save(sizes.filter(F.col("n") > SHARD).select(F.col("k").alias("hk"), F.col("bits").alias("hb")), "hot-shards")
     if hot.isEmpty():
