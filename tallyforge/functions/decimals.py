@@ -36,14 +36,14 @@ def of_double(x: Column) -> Column:
 def of_decimal(x: Column) -> Column:
     """A decimal as a pair; ceiling and floor cut toward zero."""
     hi = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
-    return F.when(x.isNotNull(), pair(hi, x - hi))
+    return F.when(x.isNotNull(), pair(hi, x % F.lit(1).cast("decimal(1,0)")))
 
 
 def total(w: Column) -> Column:
     """The sum of pairs, an aggregate: halves are added up, then the small half's whole part is carried. Overflow raises."""
     hi, lo = F.sum(w["hi"]), F.sum(w["lo"])
     carry = F.when(lo < 0, F.ceil(lo)).otherwise(F.floor(lo))
-    hi, lo = hi + carry, lo - carry
+    hi, lo = hi + carry, lo % F.lit(1).cast("decimal(1,0)")
     # The halves may differ in sign still; one unit moves.
     up, down = (hi > 0) & (lo < 0), (hi < 0) & (lo > 0)
     hi2 = F.when(up, hi - 1).when(down, hi + 1).otherwise(hi)

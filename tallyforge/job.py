@@ -38,6 +38,18 @@ class Job:
         self.metrics["state"] = "KILLED" if error.code == ErrorCode.KILLED else "FAILED"
         return error
 
+    def _tag(self, on: bool) -> None:
+        """Tags what this thread runs, for the session and, as iteration's jobs run outside of its executions, for the context."""
+        sc = self.spark.sparkContext
+        if on:
+            self.spark.addTag(self.id)
+            sc.addJobTag(self.id)
+            sc.setInterruptOnCancel(True)
+        else:
+            self.spark.removeTag(self.id)
+            sc.removeJobTag(self.id)
+            sc.setInterruptOnCancel(False)
+
     def __enter__(self) -> Job:
         return self
 
@@ -46,7 +58,7 @@ class Job:
             self.kill()
 
     def __iter__(self) -> Iterator[Row]:
-        self.spark.addTag(self.id)
+        self._tag(True)
         try:
             if self._killed.is_set():
                 raise EngineError(ErrorCode.KILLED, self.id)
@@ -63,12 +75,12 @@ class Job:
         except Exception as e:
             raise self._failed(e) from e
         finally:
-            self.spark.removeTag(self.id)
+            self._tag(False)
 
     def rows(self) -> list[Row]:
         """All rows at once; what the plan observes of them is in metrics."""
         seen = Observation()
-        self.spark.addTag(self.id)
+        self._tag(True)
         try:
             if self._killed.is_set():
                 raise EngineError(ErrorCode.KILLED, self.id)
@@ -79,9 +91,10 @@ class Job:
         except Exception as e:
             raise self._failed(e) from e
         finally:
-            self.spark.removeTag(self.id)
+            self._tag(False)
 
     def kill(self) -> None:
         self._killed.set()
         self.metrics["state"] = "KILLED"
         self.spark.interruptTag(self.id)
+        self.spark.sparkContext.cancelJobsWithTag(self.id)

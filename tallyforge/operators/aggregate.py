@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +28,14 @@ def as_decimal(c: Column, t: T.DataType) -> Column:
 
 
 def truncated(total: Column, count: Column, scale: int) -> Column:
-    """total / count cut toward zero after scale digits, exactly: the rounded quotient is set back where it is too large."""
-    kind = f"decimal({min(38, 24 + scale)},{scale})"
-    q = (total.cast("decimal(38,10)") / count.cast("decimal(20,0)")).cast(kind)
-    ulp = F.lit(f"1e-{scale}").cast("double").cast(kind)
-    over = F.abs(q).cast("decimal(38,10)") * count.cast("decimal(20,0)") > F.abs(total)
-    return F.when(over, q - F.signum(q).cast("decimal(1,0)") * ulp).otherwise(q).cast(kind)
+    """total / count cut toward zero after scale digits (18 at most), exactly: what isn't a multiple of count units is taken off first."""
+    if not 0 <= scale <= 18:
+        raise EngineError(ErrorCode.RANGE, f"{scale} digits")
+    wide = f"decimal(37,{max(10, scale)})"  # a difference takes one digit more
+    n = count.cast("decimal(19,0)")
+    unit = (n * F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({scale + 1},{scale})")).cast(wide)
+    whole = total.cast(wide) - (total.cast(wide) % unit).cast(wide)
+    return (whole / n).cast(f"decimal(38,{scale})")
 
 
 def aggregate(func: str, c: Column | None, t: T.DataType | None, scale: int | None = None, truncate: bool = False) -> Column:
