@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
 
 
 class BkTree:
-    """A BK-tree of 64-bit numbers. search gives the kept numbers within the radius."""
+    """A BK-tree of unsigned 64-bit numbers. search gives the kept numbers within the radius."""
 
     def __init__(self) -> None:
         self.root: list | None = None
@@ -148,12 +148,12 @@ def _linked(shards: DataFrame, radius: int, keys: list[str]) -> DataFrame:
                 new[1:] |= c[1:] != c[:-1]
             at = np.flatnonzero(new)
             size = np.diff(np.append(at, n))
-            fp = cols[-1]
+            fp = cols[-1].view(np.uint64)  # unsigned, as distances count bits
             out = [x for a, k in zip(at[size > 1].tolist(), size[size > 1].tolist()) for x in _forest(fp[a : a + k].tolist(), radius)]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.array([x[k] for x in out], np.uint64).view(np.int64)) for k in range(2)], names=["a", "b"])
 
         for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]  # the last is fp
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             n = len(cols[0])
