@@ -10,7 +10,7 @@ states) of its texts, Spark adds these up by class, and the driver turns them in
 by `OWN`, `ENDINGS` and the number of states. For training, texts of over `PIECE` tokens are cut into pieces of
 that length, so that tasks advance many sequences at a time; scores take whole texts as one sequence.
 
-Counts of all training tokens are a table. The `HEAD` most frequent are sent to the tasks; the rest of the tokens
+Counts of all training tokens are a table. The most frequent, at most `HEAD`, are sent to the tasks; the rest of the tokens
 of the texts is joined to the table by word. Both bounds are fixed, while the table and the join grow with the input.
 
 Edge cases: null text is empty, one end token; a null id counts as the empty text in the split; repeated rows are
@@ -81,11 +81,19 @@ class Vocabulary:
     def __init__(self, table_: DataFrame):
         got = table_.agg(F.sum("c"), F.count(F.lit(1))).first()
         self.n, self.v = got[0] or 0, got[1]
-        first = (F.col("word") == F.lit(END)).desc()
-        head = table_.orderBy(first, F.col("c").desc(), F.col("word")).limit(HEAD).collect()
-        if not head or bytes(head[0]["word"]) != END:
-            head = [(END, 0, 0), *head]
-        self.head = [(bytes(r[0]), r[2]) for r in head]
+        # The most frequent, as many whole classes of equal log2 (count) in 32nds as fit: at most HEAD words go to the driver.
+        level = F.floor(F.log2("c") * 32)
+        common = sorted(table_.groupBy(level.alias("level")).count().collect(), reverse=True)
+        room, least = HEAD - 1, math.inf
+        for r in common:
+            room -= r["count"]
+            if room < 0:
+                break
+            least = r["level"]
+        head = table_.filter((level >= F.lit(float(least))) | (F.col("word") == F.lit(END))).collect()
+        words = {bytes(r["word"]): r["c"] for r in head}
+        ends = words.pop(END, 0)
+        self.head = [(END, ends), *sorted(words.items(), key=lambda x: (-x[1], x[0]))]
         sizes = table_.groupBy("ending").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
         n, v = np.zeros(ENDINGS), np.zeros(ENDINGS)
         for r in sizes:
