@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised residuals.
 
-Fitting (on at most `SAMPLE` vectors, those of the smallest hashed ids): coarse centroids, about sqrt(n) of them, and
+Fitting (on about `SAMPLE` vectors, those of the smallest hashed ids): coarse centroids, about sqrt(n) of them, and
 for each group of components 256 code words of the residuals. Indexing covers every vector: its list (nearest
 centroid) and its residual's codes. A query probes a share of the lists, those whose centroids have the largest
 inner product with it; within a list, candidates are ranked by asymmetric distance tables (query against code words, no decoding),
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, save, table
+from .common import prepare, sampled, save, table
 
 SAMPLE, LISTS, WORDS = 20_000, 8_192, 256
 BLOCK, QUERIES = 4_096, 1_024
@@ -107,7 +107,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE, rer
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if n == 0:
         return spark.createDataFrame([], schema)
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    sample = sampled(vectors, SAMPLE, n, "id").toArrow()
     index = Index(_vectors(sample.column("vector")).astype(np.float32), min(LISTS, int(np.ceil(np.sqrt(n)))))
     shared = spark.sparkContext.broadcast(index)
 
