@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, prepare, save, table
+from .common import new_path, prepare, sampled, save, table
 
 LEAST = 1000
 FAN_IN = 64
@@ -241,7 +241,7 @@ def merge_index(runs: DataFrame) -> DataFrame:
         files = _files(spark.read.parquet(path))
     count = runs.count()
     parts = max(1, -(-count // RANGE), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 2000)))
-    sample = runs.select(*KEY).orderBy(F.xxhash64(*KEY)).limit(20_000).collect()
+    sample = sampled(runs.select(*KEY), 20_000, count, *KEY).collect()
     sample = sorted(_key(tuple(r)) for r in sample)
     cuts = [sample[len(sample) * k // parts] for k in range(1, parts)] if sample else []
     cuts = sorted(set(cuts))
