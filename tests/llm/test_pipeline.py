@@ -32,6 +32,26 @@ def test_stages(spark, sf):
     assert sorted((r.doc_id, r.ids_sha256) for r in again.collect()) == want
 
 
+def test_near_copies_go(spark, sf):
+    """Copies with one word in sixty changed (similarity 0.8 and more) go, unrelated texts stay."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6)))
+    rows, copies = [], 0
+    for k in range(60):
+        w = [word() for _ in range(r.randint(120, 400))]
+        rows.append((10 * k, " ".join(w)))
+        for j in range(1, 3):
+            v = list(w)
+            for at in r.sample(range(len(v)), len(v) // 60):
+                v[at] = word()
+            rows.append((10 * k + j, " ".join(v)))
+            copies += 1
+    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()}
+    assert {10 * k for k in range(60)} <= kept and len(kept) - 60 <= 0.1 * copies
+
+
 def test_odd_documents(spark, odd_docs, no_docs, sf):
     out = staged(spark, odd_docs, sf)
     assert out[1].count() > 0 and out[-1].count() > 0
