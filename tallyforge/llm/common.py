@@ -49,11 +49,21 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named_table(spark: SparkSession, prefix: str) -> str:
+    """An unused name for a table, which release() drops."""
+    name = f"{prefix}_{uuid.uuid4().hex}"
+    _made.append((spark, f"table:{name}"))
+    return name
+
+
 def release() -> None:
     """Delete the tables written so far. Results that still read them can't be used afterwards."""
     while _made:
         spark, path = _made.pop()
         try:
+            if path.startswith("table:"):
+                spark.sql(f"DROP TABLE IF EXISTS {path.removeprefix('table:')}")
+                continue
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

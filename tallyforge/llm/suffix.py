@@ -26,7 +26,6 @@ ids are allowed; extra columns don't matter; an empty table gives an empty resul
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, prepare, save, table
+from .common import named_table, new_path, prepare, save, table
 
 GRAM = 16
 #: Distinct contexts of a group that are compared in one task.
@@ -277,7 +276,7 @@ def text_table(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.unhex(F.md5(t)).alias("key"), t.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    name = f"texts_{uuid.uuid4().hex}"
+    name = named_table(spark, "texts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts.write.bucketBy(n, "key").format("parquet").option("compression", "zstd").option("path", new_path(spark, "texts")).saveAsTable(name)
     return spark.table(name)
