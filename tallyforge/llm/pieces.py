@@ -21,6 +21,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,10 @@ SPACE = "▁"
 REMEMBERED = 250_000
 #: Pairs of pieces whose compatibility a worker remembers.
 PAIRS = 400_000
+#: Ids that a worker holds before it passes them on.
+AT_ONCE = 200_000
+#: Arrow's types of the added columns.
+T_ARROW = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "piece_ids": pa.list_(pa.int32()), "decoded": pa.string()}
 #: Longer parts are not remembered.
 LONGEST = 64
 
@@ -308,19 +313,20 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: bool = True) ->
     def run(batches):
         m = load(model)
         for batch in batches:
-            n, joined, back, lists, decoded = [], [], [], [], []
-            for t in batch.column(at):
-                k, s, d = m.encoded(t.as_py() or "")
-                n.append(k)
-                joined.append(hashlib.sha256(s.encode()).hexdigest())
-                back.append(hashlib.sha256(d.encode()).hexdigest())
+            columns: list[list] = [[] for _ in added]
+            held = lo = 0
+            for k, t in enumerate(batch.column(at)):
+                n, s, d = m.encoded(t.as_py() or "")
+                row = [n, hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest()]
                 if ids:
-                    lists.append(list(map(int, s.split(","))) if s else [])
-                    decoded.append(d)
-            more = [pa.array(n, pa.int64()), pa.array(joined, pa.string()), pa.array(back, pa.string())]
-            if ids:
-                more += [pa.array(lists, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *added])
+                    row += [np.array(s.split(",") if s else [], np.int32), d]
+                for c, x in zip(columns, row):
+                    c.append(x)
+                held += n
+                if held >= AT_ONCE or k + 1 == len(batch):
+                    more = [pa.array(c, T_ARROW[name]) for c, name in zip(columns, added)]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, k + 1 - lo).columns, *more], names=[*batch.schema.names, *added])
+                    columns, held, lo = [[] for _ in added], 0, k + 1
 
     return docs.mapInArrow(run, schema)
 
