@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -304,7 +305,7 @@ def stream_windows(spark, d):
     schema = T.StructType([T.StructField("ts", T.TimestampType()) if f.name == "ts" else f for f in schema])
     out = streams.windowed(streams.stream(spark, f"{d}/events.parquet*", schema), "ts", "1 hour", "10 minutes", ["event_type"], {"n": ("count", None), "m": ("count", "value")})
     base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyforge-")).rstrip("/")
-    base = f"{base}/stream-{id(out)}-{spark.sparkContext.startTime}-{F.rand()._jc.hashCode()}"
+    base = f"{base}/stream-{uuid.uuid4().hex}"
     got = streams.drained(out, f"{base}/out", f"{base}/state")
     return got.select(F.col("window_start").cast("timestamp_ntz"), F.col("window_end").cast("timestamp_ntz"), "event_type", "n", "m")
 
