@@ -1,6 +1,6 @@
 """A corpus pipeline of operators of tallyforge.llm. Each stage's result is written as Parquet and reread.
 
-Documents that the quality rules reject go; of near-duplicates one stays; secrets are replaced in the texts; the
+Documents that the quality rules reject go; of near-duplicates (five-word Jaccard similarity of 0.8 or more) one stays; secrets are replaced in the texts; the
 sources are mixed to their target weights (a document may come twice or not at all); the rest is encoded.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import mixing, pieces, quality, secrets, simhash
+from tallyforge.llm import mixing, neardup, pieces, quality, secrets
 from tallyforge.llm.common import save, table
 
 #: Sketches, trained trees and components aren't SQL; tests/llm/test_pipeline.py compares with a brute-force version.
@@ -19,14 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-#: Differing bits at which documents are near-duplicates here, and the seeds of the two fingerprints of which either
-#: may do. They are of the set of a text's words: five-word shingles of 0.8 similarity share nearly all words, while
-#: fingerprints of the shingles themselves differ by some ten bits then (figures in README.md).
-RADIUS, SEEDS = 5, (42, 7)
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_each(docs, RADIUS, seeds=SEEDS, distinct=True)
+    return neardup.first_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +39,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup by five-word shingles", near_duplicates),
     ("secret scans", secret_scan),
     ("mixing sources to target weights", mixture),
     ("SentencePiece encoding and decoding", encoding),
