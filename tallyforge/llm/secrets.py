@@ -30,6 +30,8 @@ REPLACEMENT = "[secret]"
 FINDINGS = 6_000
 TREES, DEPTH = 24, 7
 BEFORE, AFTER = 40, 24
+#: Characters that a candidate has at least.
+SHORTEST = 16
 
 #: Words and parts of words that identifiers, paths and prose are made of.
 DICTIONARY = (
@@ -60,7 +62,7 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         F.size(F.array_distinct(F.split(candidate, ""))) / n,
         flag(candidate.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         flag(candidate.rlike("^(AKIA|ASIA|AIza|ghp_|gho_|glpat-|sk_live_|sk-|xox[abp]-|eyJ)")),
-        flag(before.rlike(rf"(?i){secret}\W{{0,5}}$")),
+        flag(before.rlike(rf"(?i){secret}[\w\-]{{0,16}}\W{{0,5}}$")),
         flag(before.rlike(rf"(?i){secret}")),
         flag(before.rlike(rf"(?i){digest}\W{{0,5}}$")),
         flag(before.rlike(r"[=:]\s*[\"']?$")),
@@ -80,7 +82,7 @@ def labelled(spark: SparkSession, n: int = FINDINGS, seed: int = 1) -> DataFrame
     word = "element_at(array('the section of', 'thereon wher', 'und die sch', 'en la que', 'log entry', 'see also', 'value was', 'import'), pmod(cast(conv(substr({0}, 5, 4), 16, 10) as int), 8) + 1)"
     w1, w2 = word.format(h), word.format(h2)
     pick = lambda hash_, *xs: f"element_at(array({', '.join(xs)}), pmod(cast(conv(substr({hash_}, 1, 4), 16, 10) as int), {len(xs)}) + 1)"
-    named = pick(h2, "'token'", "'password'", "'api_key'", "'secret'", "'access_key'", "'auth_token'", "'TOKEN'", "'PASSWORD'", "'client_secret'")
+    named = pick(h2, "'token'", "'password'", "'api_key'", "'secret'", "'access_key'", "'auth_token'", "'TOKEN'", "'PASSWORD'", "'client_secret'", "'databasePassword'", "'aws_secret_access_key_2'", "'PROD/api_token_v1'", "'sessionTokenSecret3'")
     joint = pick(h3, "' = \"'", "'='", "': '", "': \"'", "' = '", "'=\\''")
     part = lambda k: f"element_at(array('get', 'User', 'Name', 'From', 'Session', 'Handler', 'section', 'photo', 'index', 'report', 'Table', 'view'), pmod(cast(conv(substr({h3}, {k}, 3), 16, 10) as int), 12) + 1)"
     name = f"concat({part(1)}, {part(4)}, {part(7)}, {part(10)})"
@@ -103,6 +105,7 @@ def labelled(spark: SparkSession, n: int = FINDINGS, seed: int = 1) -> DataFrame
         (f"concat({plain}, {named}, {joint})", f"substr(concat({h}, {h2}), 1, {size})", "'\" '", pick(h3, "'tests/data.py'", "'docs/readme'", "'examples/a.py'", "'package.lock'"), 0),
         (f"concat({plain}, {pick(h2, chr(39) + 'the token ' + chr(39), chr(39) + 'password ' + chr(39))}, {w2}, ' ')", f"concat({name}, lower({name}))", "' '", paths, 0),
         (f"concat({plain}, {w2}, ' ')", f"substr(concat({h}, {h2}), 1, {size})", "' '", paths, 0),
+        (plain, pick(h2, "'databasePassword'", "'aws_secret_access_key_2'", "'PROD/api_token_v1'", "'sessionTokenSecret3'", f"concat({part(1)}, 'Token', {name})"), joint, paths, 0),
     ]
     each = max(1, n // len(kinds))
     rows = spark.range(0, each * len(kinds), 1, 2)
@@ -140,14 +143,27 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     return lambda f: sum((v(f) for v in votes[1:]), votes[0](f)) / len(votes)
 
 
+def _neighbours(x: Column, k: Column) -> Column:
+    """The BEFORE characters before candidate k and the AFTER after it, other candidates among them."""
+    most = F.size(x["between"]) - 1
+    ahead = lambda j: F.concat(F.right(F.get(x["between"], j), F.lit(BEFORE)), F.when(j < k, F.right(F.get(x["found"], j), F.lit(BEFORE))).otherwise(""))
+    behind = lambda j: F.concat(F.left(F.get(x["between"], j), F.lit(AFTER)), F.when(j < most, F.left(F.get(x["found"], j), F.lit(AFTER))).otherwise(""))
+    before = F.transform(F.sequence(F.greatest(k - BEFORE // SHORTEST, F.lit(0)), k), ahead)
+    after = F.transform(F.sequence(k + 1, F.least(k + 1 + AFTER // SHORTEST, most)), behind)
+    return F.struct(F.right(F.array_join(before, ""), F.lit(BEFORE)).alias("before"), F.left(F.array_join(after, ""), F.lit(AFTER)).alias("after"))
+
+
 def findings(text: Column, path: Column, forest) -> Column:
     """A struct of the texts between candidates, and the candidates as structs (candidate, votes); null without any."""
     t = F.coalesce(text, F.lit(""))
 
     def judged(x: Column) -> Column:
         def one(c: Column, k: Column) -> Column:
-            f = F.array(*features(c, F.right(F.get(x["between"], k), F.lit(BEFORE)), F.left(F.get(x["between"], k + 1), F.lit(AFTER)), F.coalesce(path, F.lit(""))))
-            return F.struct(c.alias("candidate"), let(f, lambda v: forest([F.get(v, i) for i in range(17)])).alias("votes"))
+            def votes(n: Column) -> Column:
+                f = features(c, n["before"], n["after"], F.coalesce(path, F.lit("")))
+                return let(F.array(*f), lambda v: forest([F.get(v, i) for i in range(len(f))]))
+
+            return F.struct(c.alias("candidate"), let(_neighbours(x, k), votes).alias("votes"))
 
         return F.struct(x["between"].alias("between"), F.transform(x["found"], one).alias("found"))
 

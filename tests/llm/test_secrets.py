@@ -42,3 +42,16 @@ def test_odd_documents(spark, odd_docs, no_docs, forest):
     assert out.count() == odd_docs.count() and out.filter("text like '%[secret]%'").count() == 1
     assert spans(odd_docs, forest).filter("doc_id = 9 and is_secret").count() == 1
     assert spans(no_docs, forest).count() == 0 and redacted(no_docs, forest).count() == 0
+
+
+HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+def cleaned(spark, forest, texts, source="src1"):
+    df = spark.createDataFrame([(k, t, source) for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    return [r.text for r in redacted(df, forest).orderBy("doc_id").collect()]
+
+
+def test_names_that_are_candidates(spark, forest):
+    names = ['databasePassword = "', "aws_secret_access_key_2: ", "PROD/api_token_v1=", "x sessionTokenSecret3: '"]
+    assert cleaned(spark, forest, [n + HEX for n in names]) == [n + "[secret]" for n in names]
