@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of 16 or more letters, digits and + / _ - that hold a digit, go from lower to upper case or begin as cloud
-keys do. The
+Candidates are runs of 16 or more letters, digits and + / _ -, values of 6 or more characters of any kind but white space and
+quotes after a name with a secret word and = or :, and the passwords of URLs. The
 forest judges each by its length, the transitions between kinds of characters, how much of it a dictionary covers,
 the words next to it and the document's path (its source). It is trained on labelled findings (before, candidate,
 after, path, label); `labelled` makes a set of `FINDINGS` of them in SQL, as no table has any. Their number is the
@@ -24,14 +24,21 @@ from pyspark.sql import functions as F
 from .common import fresh, let, save, table
 
 _BODY = r"[A-Za-z0-9+/_\-]"
-CANDIDATE = rf"(?<!{_BODY})(?={_BODY}{{16}})(?=A[KS]IA|[A-Za-z+/_\-]*(?:[0-9]|[a-z][A-Z])){_BODY}{{16,}}={{0,2}}"
+_RUN = rf"(?<!{_BODY})(?=[+/_\-]*[A-Za-z0-9]){_BODY}{{16,}}={{0,2}}"
+#: A value after a name that holds a secret word and = or :, up to white space, a quote or the next name of a list.
+_NAME = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|credentials?|auth)"
+_REST = r"[^\s\"'`&,;]*(?:[&,;](?![\w.\-]{1,40}[=:])[^\s\"'`&,;]*){0,64}(?<![.,;:)\]}])"
+_VALUE = rf"(?<=[=:>][\x20\t]{{0,3}}[\"'`]?)(?=[^\s\"'`]{{6}})(?<={_NAME}[\w\-]{{0,16}}[\"'`]?[\x20\t]{{0,3}}[=:]{{1,2}}>?[\x20\t]{{0,3}}[\"'`]?)[^\s\"'`=:>&,;]{_REST}"
+#: The password of a URL.
+_LOGIN = r"(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s@/\"'`]{3,}(?=@)"
+CANDIDATE = f"{_LOGIN}|{_VALUE}|{_RUN}"
 REPLACEMENT = "[secret]"
 #: Labelled findings made for training, in all.
 FINDINGS = 6_000
 TREES, DEPTH = 24, 7
 BEFORE, AFTER = 40, 24
 #: Characters that a candidate has at least.
-SHORTEST = 16
+SHORTEST = 1
 
 #: Words and parts of words that identifiers, paths and prose are made of.
 DICTIONARY = (
@@ -69,6 +76,11 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         flag(before.rlike(r"(://|[/.\\?&@#])[^\s]{0,20}$") | after.rlike(r"^\.[a-z]{2,4}\b") | after.rlike("^@")),
         flag(path.rlike(r"(?i)(test|example|sample|mock|fixture|docs?\b|readme|lock$)")),
         flag(candidate.rlike("(?i)(example|sample|placeholder|changeme|dummy|your_|xxxx|0000|1234567)")),
+        flag(before.rlike(r"(?:[^\s/@]|//):$") & after.rlike("^@")),
+        flag(candidate.rlike("[a-z]") & candidate.rlike("[A-Z]")),
+        flag(candidate.rlike(r"[(){}\[\]<>$]|\*\*\*|\.[A-Za-z]+")),
+        flag(candidate.rlike("^(?:[a-z]+|[A-Z]?[a-z]+|[A-Z]+)(?:[/_\\-][A-Za-z]+)*$")),
+        flag(candidate.rlike("^[A-Za-z0-9+/_\\-]{16,}=*$")),
         flag(candidate.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
     ]
 
@@ -88,6 +100,11 @@ def labelled(spark: SparkSession, n: int = FINDINGS, seed: int = 1) -> DataFrame
     name = f"concat({part(1)}, {part(4)}, {part(7)}, {part(10)})"
     size = f"(16 + pmod(cast(conv(substr({h3}, 9, 4), 16, 10) as int), 24))"
     plain = f"concat({w1}, ' ')"
+    lower = f"translate(concat({h}, {h2}, {h3}), '0123456789', 'ghjkmqrvxz')"
+    allupper = f"upper(translate(concat({h2}, {h}), '0123456789', 'GHJKMQRVXZ'))"
+    words = "'hunter', 'dragon', 'Summer', 'monkey', 'Pass', 'shadow', 'Winter', 'love', 'admin', 'Secret', 'blue', 'Tiger'"
+    chosen, chosen2 = pick(h, words), pick(h2, words)
+    punctuated = "'!', '#', '$', '@', '%', '?', '&', '.'"
     paths = pick(h3, "'src1'", "'web'", "'src/main.py'", "'crawl'", "'config/app.yml'", "''")
     kinds = [  # before, candidate, after, path, label
         (f"concat({plain}, {named}, {joint})", f"substr(concat({h}, {h2}), 1, {size})", "'\" '", paths, 1),
@@ -105,6 +122,13 @@ def labelled(spark: SparkSession, n: int = FINDINGS, seed: int = 1) -> DataFrame
         (f"concat({plain}, {named}, {joint})", f"substr(concat({h}, {h2}), 1, {size})", "'\" '", pick(h3, "'tests/data.py'", "'docs/readme'", "'examples/a.py'", "'package.lock'"), 0),
         (f"concat({plain}, {pick(h2, chr(39) + 'the token ' + chr(39), chr(39) + 'password ' + chr(39))}, {w2}, ' ')", f"concat({name}, lower({name}))", "' '", paths, 0),
         (f"concat({plain}, {w2}, ' ')", f"substr(concat({h}, {h2}), 1, {size})", "' '", paths, 0),
+        (f"concat({plain}, {named}, {joint})", f"concat(substr({lower}, 1, {size}), substr({lower}, 1, 4))", "'\" '", paths, 1),
+        (f"concat({plain}, {named}, {joint})", f"substr(concat({allupper}, {allupper}), 1, {size})", "'\" '", paths, 1),
+        (f"concat({plain}, {named}, {joint})", f"concat({chosen}, substr({h}, 1, 2), {chosen2}, {pick(h3, punctuated)}, substr(translate({h2}, 'abcdef', '314159'), 1, 2))", "'\" '", paths, 1),
+        (f"concat({plain}, {named}, {joint})", f"concat(substr({b64}, 1, 3), {pick(h3, punctuated)}, substr({b64}, 5, 2 + pmod(cast(conv(substr({h3}, 9, 4), 16, 10) as int), 8)))", "'\" '", paths, 1),
+        (f"concat({plain}, 'https://', {part(1)}, ':')", pick(h2, f"concat({chosen}, substr({h}, 1, 3))", f"substr({b64}, 1, {size} - 8)", f"concat(substr({h}, 1, 3), '!', substr({b64}, 1, 5))", "'p4ss'"), "'@host.net/x'", paths, 1),
+        (f"concat({plain}, {named}, {joint})", pick(h2, "'required'", "'string'", "'getenv(TOKEN)'", "'os.environ[KEY]'", "'${PASSWORD}'", "'********'", "'<password>'", "'Bearer'", "'process.env.SECRET'", "'unknown'", "'config.get(x)'", "'another'", f"lower({name})", f"concat(lower({part(1)}), lower({part(7)}))", f"concat({part(1)}, '.', {part(4)}, '()')"), "' '", paths, 0),
+        (plain, pick(h2, f"lower(concat({name}, {part(1)}))", f"upper(concat({part(1)}, '_', {part(4)}, '_', {name}))", f"lower(concat({part(1)}, '/', {part(4)}, '-', {part(7)}, '/', {part(10)}))", "'----------------a'", "'unternehmensberatung'", "'bundesausbildungsgesetz'", "'internationalization'", "'INTERNATIONALIZATION'"), pick(h2, "' '", "'.'", "': '"), paths, 0),
         (plain, pick(h2, "'databasePassword'", "'aws_secret_access_key_2'", "'PROD/api_token_v1'", "'sessionTokenSecret3'", f"concat({part(1)}, 'Token', {name})"), joint, paths, 0),
     ]
     each = max(1, n // len(kinds))

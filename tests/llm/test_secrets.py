@@ -55,3 +55,14 @@ def cleaned(spark, forest, texts, source="src1"):
 def test_names_that_are_candidates(spark, forest):
     names = ['databasePassword = "', "aws_secret_access_key_2: ", "PROD/api_token_v1=", "x sessionTokenSecret3: '"]
     assert cleaned(spark, forest, [n + HEX for n in names]) == [n + "[secret]" for n in names]
+
+
+def test_broad_candidates(spark, forest):
+    cases = [
+        ('password = "{}" x', "hunter2Pass!9"), ("token={}", "abcdefghijklmnopqrstuvwxyzabcd"), ("totp secret: {}", "JBSWYXDPEHPKPXPJBSWYXDPEHPKPXP"), ("see https://user:{}@host/x", "p4ss"),
+        ("a token_type=bearer&access_token={} b", "9f86d081884c7d659a2feaa0c55ad015"),
+    ]
+    texts = [t.format(v) for t, v in cases]
+    assert cleaned(spark, forest, texts) == [t.format("[secret]") for t, _ in cases]
+    plain = ["password: required", "token = os.environ[KEY] now", "the internationalization of it", "Authorization: Bearer and", "-" * 40]
+    assert cleaned(spark, forest, plain) == plain
