@@ -3,7 +3,7 @@
 Candidates are runs of 16 or more letters, digits and + / _ -, values of 6 or more characters of any kind but white space and
 quotes after a name with a secret word and = or :, and the passwords of URLs. The
 forest judges each by its length, the transitions between kinds of characters, how much of it a dictionary covers,
-the words next to it and the document's path (its source). It is trained on labelled findings (before, candidate,
+the words next to it and the document's path (its source, where that has the form of a test's or example's file path). It is trained on labelled findings (before, candidate,
 after, path, label); `labelled` makes a set of `FINDINGS` of them in SQL, as no table has any. Their number is the
 bound of the sample. The trained trees become one column expression, so the scan is a map over the texts without
 Python, joins or shuffles; only the report of spans adds up lengths within the documents that have candidates.
@@ -74,7 +74,7 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         flag(before.rlike(rf"(?i){digest}\W{{0,5}}$")),
         flag(before.rlike(r"[=:]\s*[\"']?$")),
         flag(before.rlike(r"(://|[/.\\?&@#])[^\s]{0,20}$") | after.rlike(r"^\.[a-z]{2,4}\b") | after.rlike("^@")),
-        flag(path.rlike(r"(?i)(test|example|sample|mock|fixture|docs?\b|readme|lock$)")),
+        flag(path.rlike(r"(?i)(^|/)(tests?|examples?|samples?|mocks?|fixtures?|docs?)/|(^|/)(readme|test_\w+|\w+_test)\.\w+$|\.lock$")),
         flag(candidate.rlike("(?i)(example|sample|placeholder|changeme|dummy|your_|xxxx|0000|1234567)")),
         flag(before.rlike(r"(?:[^\s/@]|//):$") & after.rlike("^@")),
         flag(candidate.rlike("[a-z]") & candidate.rlike("[A-Z]")),
@@ -105,7 +105,8 @@ def labelled(spark: SparkSession, n: int = FINDINGS, seed: int = 1) -> DataFrame
     words = "'hunter', 'dragon', 'Summer', 'monkey', 'Pass', 'shadow', 'Winter', 'love', 'admin', 'Secret', 'blue', 'Tiger'"
     chosen, chosen2 = pick(h, words), pick(h2, words)
     punctuated = "'!', '#', '$', '@', '%', '?', '&', '.'"
-    paths = pick(h3, "'src1'", "'web'", "'src/main.py'", "'crawl'", "'config/app.yml'", "''")
+    paths = pick(h3, "'src1'", "'web'", "'src/main.py'", "'crawl'", "'config/app.yml'", "''", "'latest'", "'docs'", "'contest'", "'sampled-web'")
+    tests = pick(h2, "'tests/data.py'", "'docs/readme'", "'examples/a.py'", "'package.lock'")
     kinds = [  # before, candidate, after, path, label
         (f"concat({plain}, {named}, {joint})", f"substr(concat({h}, {h2}), 1, {size})", "'\" '", paths, 1),
         (f"concat({plain}, {named}, {joint})", f"substr({b64}, 1, {size})", "'\" '", paths, 1),
@@ -119,7 +120,9 @@ def labelled(spark: SparkSession, n: int = FINDINGS, seed: int = 1) -> DataFrame
         (plain, f"concat({name}, {name})", pick(h2, "'('", "' '", "'.'", "';'"), paths, 0),
         (f"concat({plain}, {pick(h2, chr(39) + 'https://a.example.com/' + chr(39), chr(39) + './assets/' + chr(39), chr(39) + 'see ' + chr(39))})", f"concat(lower({name}), '_', substr(translate({h}, 'abcdef', '314159'), 1, 8), '-', lower({part(2)}))", pick(h3, "'.jpg'", "'.html'", "' '"), paths, 0),
         (f"concat({plain}, {named}, {joint})", f"concat({pick(h2, chr(39) + 'YOUR_API_KEY_HERE_' + chr(39), chr(39) + 'example_token_0000' + chr(39), chr(39) + 'xxxxxxxxxxxxxxxxxx' + chr(39), chr(39) + 'changeme_1234567890' + chr(39))}, substr({h}, 1, 2))", "'\" '", paths, 0),
-        (f"concat({plain}, {named}, {joint})", f"substr(concat({h}, {h2}), 1, {size})", "'\" '", pick(h3, "'tests/data.py'", "'docs/readme'", "'examples/a.py'", "'package.lock'"), 0),
+        (f"concat({plain}, {named}, {joint})", f"substr(repeat(substr({h}, 1, 4), 10), 1, {size})", "'\" '", tests, 0),
+        (f"concat({plain}, {named}, {joint})", pick(h, f"substr(concat({h}, {h2}), 1, {size})", f"substr({b64}, 1, {size})"), "'\" '", tests, 1),
+        (plain, f"concat('AKIA', substr({upper}, 1, 16))", "' '", tests, 1),
         (f"concat({plain}, {pick(h2, chr(39) + 'the token ' + chr(39), chr(39) + 'password ' + chr(39))}, {w2}, ' ')", f"concat({name}, lower({name}))", "' '", paths, 0),
         (f"concat({plain}, {w2}, ' ')", f"substr(concat({h}, {h2}), 1, {size})", "' '", paths, 0),
         (f"concat({plain}, {named}, {joint})", f"concat(substr({lower}, 1, {size}), substr({lower}, 1, 4))", "'\" '", paths, 1),

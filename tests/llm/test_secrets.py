@@ -66,3 +66,8 @@ def test_broad_candidates(spark, forest):
     assert cleaned(spark, forest, texts) == [t.format("[secret]") for t, _ in cases]
     plain = ["password: required", "token = os.environ[KEY] now", "the internationalization of it", "Authorization: Bearer and", "-" * 40]
     assert cleaned(spark, forest, plain) == plain
+
+
+@pytest.mark.parametrize("source", ["latest", "docs", "contest", "sampled-web", "tests/data.py"])
+def test_sources_are_no_paths(spark, forest, source):
+    assert cleaned(spark, forest, [f'x token = "{HEX}" y'], source) == ['x token = "[secret]" y']
