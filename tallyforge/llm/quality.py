@@ -7,14 +7,16 @@ q25 - 3 * (q75 - q25) - margin.
 
 The quantiles come from mergeable sketches: counts by logarithmic bucket, each 2 % wide, so that a quantile is
 exact to 1 %. Sketches merge by adding counts, which Spark does before and after the shuffle; a hot source costs
-no more than its buckets. Groups of language and source with fewer than `LEAST` documents use their
-language's merged sketch, or that of all documents. The thresholds are joined to the documents' slim counts.
+no more than its buckets. A language's quantiles are averaged with those of all documents, and a group's with its
+language's, by the number of documents against `PRIOR`: small groups lean on their parents and large ones don't, with
+no switch by size. The thresholds are joined to the documents' slim counts.
 
 Edge cases: null text has no words and fails the base rules; null language or source is a group of its own;
 null ids, repeated rows and extra columns are kept as they are; an empty table gives an empty result.
 
 Repeated windows are found without a shuffle: within a document, hashes of the 3-word windows are sorted together
-with their positions (packed in one long), and equal neighbours are repeats. Only DataFrame functions are used.
+with their positions (packed in one long), and equal neighbours of equal words are repeats. Only DataFrame functions
+are used.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .common import WORD, fresh, let, save, table
 
 #: Width of a bucket of the sketches; smaller values than the least count as 0.
 GAMMA, SMALLEST = 1.02, 1e-3
-#: Documents that a group needs for thresholds of its own.
-LEAST = 200
+#: Documents as which the parent's quantiles count against a group's own.
+PRIOR = 50
 SPREAD = 3.0
 #: Ratio, numerator, denominator, margin, whether low values are bad as well.
 RATIOS = (
@@ -41,17 +43,38 @@ RATIOS = (
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
 
+def _hashed(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
 def _repeated(w: Column) -> Column:
-    """Words in 3-word windows that occur twice or more. A window is a 64-bit hash, less the bits of a position."""
+    """Words in 3-word windows that occur twice or more, exactly.
+
+    Windows are sorted by a 64-bit hash, less the bits of a position, with their positions. Neighbours of equal hashes
+    are compared word by word; if any differ, the windows whose hashes aren't unique are sorted by their words instead.
+    """
     bits = F.length(F.bin(F.size(w)))
     upper = lambda x: F.call_function("shiftright", x, bits)
-    packed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("bigint")))
+    packed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.call_function("shiftleft", _hashed(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("bigint")))
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
+    at = lambda x: x.bitwiseAND(mask).cast("int")
+    alike = lambda x, y: F.coalesce(upper(x) == upper(y), F.lit(False))
 
     def positions(p: Column) -> Column:
-        same = lambda x, y: F.coalesce(upper(x) == upper(y), F.lit(False))
-        twice = F.filter(p, lambda x, k: same(x, F.get(p, k + 1)) | same(x, F.get(p, k - 1)))
-        return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
+        return let(F.filter(p, lambda x, k: alike(x, F.get(p, k + 1)) | alike(x, F.get(p, k - 1))), checked)
+
+    def checked(twice: Column) -> Column:
+        def differs(x: Column, k: Column) -> Column:
+            i, j = at(x), at(F.get(twice, k + 1))
+            return alike(x, F.get(twice, k + 1)) & ((F.get(w, i) != F.get(w, j)) | (F.get(w, i + 1) != F.get(w, j + 1)) | (F.get(w, i + 2) != F.get(w, j + 2)))
+
+        def same_words(s: Column) -> Column:
+            same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+            return F.transform(F.filter(s, lambda x, k: same(x, F.get(s, k + 1)) | same(x, F.get(s, k - 1))), lambda x: x["i"].cast("bigint"))
+
+        window = lambda x: F.struct(F.get(w, at(x)).alias("a"), F.get(w, at(x) + 1).alias("b"), F.get(w, at(x) + 2).alias("c"), at(x).alias("i"))
+        by_words = let(F.sort_array(F.transform(twice, window)), same_words)
+        return F.sort_array(F.when(F.size(F.filter(twice, differs)) > 0, by_words).otherwise(F.transform(twice, lambda x: x.bitwiseAND(mask))))
 
     covered = lambda acc, p: F.struct((acc["n"] + p + 3 - F.greatest(p, acc["end"])).alias("n"), (p + 3).alias("end"))
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
@@ -86,25 +109,37 @@ def thresholds(slim: DataFrame) -> DataFrame:
     bucket = F.when(F.col("value") < SMALLEST, F.lit(-1000)).otherwise(F.ceil(F.log("value") / F.log(F.lit(GAMMA))).cast("int"))
     sketch = save(x.groupBy("lang", "source", "ratio", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "sketch")
     groups = slim.select("lang", "source").distinct()
-    # 0: language and source, 1: language, 2: all
-    levels = [sketch.select(F.lit(0).alias("level"), F.col("lang"), F.col("source"), "ratio", "bucket", "n"), sketch.select(F.lit(1), F.col("lang"), F.lit(None).cast("string"), "ratio", "bucket", "n"), sketch.select(F.lit(2), F.lit(None).cast("string"), F.lit(None).cast("string"), "ratio", "bucket", "n")]
-    merged = levels[0].unionAll(levels[1]).unionAll(levels[2]).groupBy("level", "lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
-    w = W.partitionBy("level", "lang", "source", "ratio")
-    merged = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
     middle = F.when(F.col("bucket") == -1000, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * (2 / (1 + GAMMA)))
     quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), middle))
-    q = merged.groupBy("level", "lang", "source", "ratio").agg(quantile(0.25).alias("q25"), quantile(0.75).alias("q75"), F.max("total").alias("total"))
-    fence = lambda r, sign: F.max(F.when(F.col("ratio") == r[0], (F.col("q75") if sign > 0 else F.col("q25")) + sign * (SPREAD * (F.col("q75") - F.col("q25")) + r[3]))).alias(f"{r[0]}_{'high' if sign > 0 else 'low'}")
-    limits = q.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *[fence(r, s) for r in RATIOS for s in ([1, -1] if r[4] else [1])])
-    limits = save(limits, "limits")
-    names = [c for c in limits.columns if c.endswith(("_high", "_low"))]
-
-    def level(k: int) -> DataFrame:
-        return limits.filter((F.col("level") == k) & ((F.col("total") >= LEAST) | F.lit(k == 2))).select(F.col("lang").alias(f"l{k}"), F.col("source").alias(f"s{k}"), F.struct(*names).alias(f"t{k}"))
 
-    g = groups.join(level(0), F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left").join(level(1), F.col("lang").eqNullSafe(F.col("l1")), "left")
-    g = g.join(F.broadcast(level(2)), F.lit(True), "left")  # one row
-    return save(g.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.coalesce("t0", "t1", "t2").alias("t")).select("t_lang", "t_source", "t.*"), "thresholds")
+    def quantiles(*by: str) -> DataFrame:
+        w = W.partitionBy(*by, "ratio")
+        m = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
+        m = m.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
+        q = m.groupBy(*by, "ratio").agg(F.max("total").alias("n"), quantile(0.25).alias("q25"), quantile(0.75).alias("q75"))
+        each = F.map_from_entries(F.collect_list(F.struct("ratio", F.struct("n", "q25", "q75"))))
+        return q.groupBy(*by).agg(each.alias("of"))
+
+    def blended(own: Column, parent: Column, r: str) -> Column:
+        """A ratio's n, q25 and q75: the own ones with the parent's as of PRIOR documents."""
+        x, y = F.try_element_at(own, F.lit(r)), F.try_element_at(parent, F.lit(r))
+        n = F.coalesce(x["n"], F.lit(0)).cast("double")
+        mean = lambda q: F.when(y.isNull(), x[q]).otherwise((n * F.coalesce(x[q], F.lit(0.0)) + float(PRIOR) * y[q]) / (n + float(PRIOR)))
+        return F.struct(n.alias("n"), mean("q25").alias("q25"), mean("q75").alias("q75"))
+
+    ratios = [r[0] for r in RATIOS]
+    every = quantiles().select(F.col("of").alias("o2"))
+    of_lang = quantiles("lang").toDF("l1", "o1")
+    of_group = quantiles("lang", "source").toDF("l0", "s0", "o0")
+    g = groups.join(of_group, F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left").join(of_lang, F.col("lang").eqNullSafe(F.col("l1")), "left")
+    g = g.join(F.broadcast(every), F.lit(True), "left")  # one row
+    g = g.select("lang", "source", "o0", F.map_from_arrays(F.array(*map(F.lit, ratios)), F.array(*[blended(F.col("o1"), F.col("o2"), r) for r in ratios])).alias("p"))
+    limits = []
+    for r, _, _, margin, low in RATIOS:
+        x = blended(F.col("o0"), F.col("p"), r)
+        spread = SPREAD * (x["q75"] - x["q25"]) + margin
+        limits += [(x["q75"] + spread).alias(f"{r}_high")] + ([(x["q25"] - spread).alias(f"{r}_low")] if low else [])
+    return save(g.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *limits), "thresholds")
 
 
 def judged(rows: DataFrame, limits: DataFrame, lang: str, source: str, count) -> Column:
@@ -169,19 +204,27 @@ WITH a AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total,
     CASE WHEN bucket = -1000 THEN 0.0::DOUBLE ELSE pow(1.02::DOUBLE, bucket) * (2.0::DOUBLE / 2.02::DOUBLE) END AS middle FROM m
 ), q AS (
-  SELECT level, lang, source, ratio, min(middle) FILTER (upto >= 0.25 * total) AS q25, min(middle) FILTER (upto >= 0.75 * total) AS q75, max(total) AS total FROM u GROUP BY ALL
+  SELECT level, lang, source, ratio, min(middle) FILTER (upto >= 0.25 * total) AS q25, min(middle) FILTER (upto >= 0.75 * total) AS q75, max(total)::DOUBLE AS n FROM u GROUP BY ALL
+), gr AS (SELECT lang, source, ratio FROM (SELECT DISTINCT lang, source FROM b), (VALUES ('symbols'), ('repeats'), ('lines'), ('length'), ('capitals')) r(ratio)
+), p AS (
+  SELECT g.*, q0.q25 AS x25, q0.q75 AS x75, coalesce(q0.n, 0) AS xn,
+    CASE WHEN q2.n IS NULL THEN q1.q25 ELSE (coalesce(q1.n, 0) * coalesce(q1.q25, 0) + 50.0::DOUBLE * q2.q25) / (coalesce(q1.n, 0) + 50.0::DOUBLE) END AS y25,
+    CASE WHEN q2.n IS NULL THEN q1.q75 ELSE (coalesce(q1.n, 0) * coalesce(q1.q75, 0) + 50.0::DOUBLE * q2.q75) / (coalesce(q1.n, 0) + 50.0::DOUBLE) END AS y75
+  FROM gr AS g LEFT JOIN q q2 ON q2.level = 2 AND q2.ratio = g.ratio
+    LEFT JOIN q q1 ON q1.level = 1 AND q1.ratio = g.ratio AND q1.lang IS NOT DISTINCT FROM g.lang
+    LEFT JOIN q q0 ON q0.level = 0 AND q0.ratio = g.ratio AND q0.lang IS NOT DISTINCT FROM g.lang AND q0.source IS NOT DISTINCT FROM g.source
+), z AS (
+  SELECT lang, source, ratio, (xn * coalesce(x25, 0) + 50.0::DOUBLE * y25) / (xn + 50.0::DOUBLE) AS q25, (xn * coalesce(x75, 0) + 50.0::DOUBLE * y75) / (xn + 50.0::DOUBLE) AS q75 FROM p
 ), f AS (
-  SELECT level, lang, source, max(total) AS total,
-    max(q75 + 3 * (q75 - q25) + 0.1) FILTER (ratio = 'symbols') AS symbols, max(q75 + 3 * (q75 - q25) + 0.3) FILTER (ratio = 'repeats') AS repeats,
-    max(q75 + 3 * (q75 - q25) + 0.25) FILTER (ratio = 'lines') AS lines, max(q75 + 3 * (q75 - q25) + 2.0) FILTER (ratio = 'length') AS high,
-    max(q25 - 3 * (q75 - q25) - 2.0) FILTER (ratio = 'length') AS low, max(q75 + 3 * (q75 - q25) + 0.15) FILTER (ratio = 'capitals') AS capitals
-  FROM q GROUP BY ALL HAVING max(total) >= 200 OR level = 2
-), j AS (
-  SELECT b.*, f.* EXCLUDE (lang, source), row_number() OVER (PARTITION BY id ORDER BY level NULLS LAST) AS pick
-  FROM b LEFT JOIN f ON level = 2 OR (b.lang IS NOT DISTINCT FROM f.lang AND (level = 1 OR b.source IS NOT DISTINCT FROM f.source))
+  SELECT lang, source,
+    max(q75 + (3 * (q75 - q25) + 0.1)) FILTER (ratio = 'symbols') AS symbols, max(q75 + (3 * (q75 - q25) + 0.3)) FILTER (ratio = 'repeats') AS repeats,
+    max(q75 + (3 * (q75 - q25) + 0.25)) FILTER (ratio = 'lines') AS lines, max(q75 + (3 * (q75 - q25) + 2.0)) FILTER (ratio = 'length') AS high,
+    max(q25 - (3 * (q75 - q25) + 2.0)) FILTER (ratio = 'length') AS low, max(q75 + (3 * (q75 - q25) + 0.15)) FILTER (ratio = 'capitals') AS capitals
+  FROM z GROUP BY ALL
+), j AS (SELECT b.*, f.* EXCLUDE (lang, source) FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(n_symbols::DOUBLE / n_words <= symbols AND n_repeat_words::DOUBLE / n_words <= repeats AND n_dup_lines::DOUBLE / n_lines <= lines
     AND word_chars::DOUBLE / n_words <= high AND word_chars::DOUBLE / n_words >= low AND n_capitals::DOUBLE / word_chars <= capitals, true) AS kept
-FROM j WHERE pick = 1
+FROM j
 """
