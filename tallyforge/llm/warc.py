@@ -7,9 +7,11 @@ run: its captures sorted by URL key and time. Runs are files of the shared folde
 Index. Runs are merged by loser trees of at most `FAN_IN` runs: first groups of runs into longer runs, as long as
 there are more; then all remaining runs by ranges of the key, a task a range, each reading only the row groups that
 its range meets. The files of the result, in order, are one globally ordered capture history. Ranges are cut at
-sampled whole keys (URL key, time, archive, place), so the captures of one hot URL are spread over ranges too.
+sampled whole keys (URL key, time, archive, place), so the captures of one hot URL are spread over ranges too; they
+hold about `RANGE` captures or `BYTES` of records at most.
 
-Reading. Records are found by the index, checked against their digest, and parsed.
+Reading follows the history: a task reads a range in the order of the merged index, which it checks as it goes;
+records are found by the index, checked against their digest, and parsed.
 
 Edge cases: a null payload is empty; a null url has the empty key and no target; a null page id gives a record
 without one (its payload is the response only if no equal payload has an id); rows with equal ids and payloads are
@@ -24,8 +26,11 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_left
+from collections import OrderedDict
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import accumulate
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -36,8 +41,10 @@ from .common import new_path, prepare, sampled, save, table
 
 LEAST = 1000
 FAN_IN = 64
-#: Captures in a range of the merged index, about.
-RANGE = 200_000
+#: Captures in a range of the merged index, and bytes of their records, about.
+RANGE, BYTES = 200_000, 32 << 20
+#: Archives that a reading task keeps open.
+OPEN = 64
 #: Rows of the duplicates' table up to which it is broadcast.
 SMALL = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -239,21 +246,24 @@ def merge_index(runs: DataFrame) -> DataFrame:
     while len(files) > FAN_IN:
         path = _merged(spark, [(files[i : i + FAN_IN], None, None) for i in range(0, len(files), FAN_IN)], "longer-runs")
         files = _files(spark.read.parquet(path))
-    count = runs.count()
-    parts = max(1, -(-count // RANGE), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 2000)))
-    sample = sampled(runs.select(*KEY), 20_000, count, *KEY).collect()
-    sample = sorted(_key(tuple(r)) for r in sample)
-    cuts = [sample[len(sample) * k // parts] for k in range(1, parts)] if sample else []
-    cuts = sorted(set(cuts))
+    count, size = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = max(1, -(-count // RANGE), -(-size // BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 2000)))
+    sample = sampled(runs.select(*KEY, "size"), 20_000, count, *KEY).collect()
+    sample = sorted((_key(tuple(r)), r["size"]) for r in sample)
+    # Cut where both the captures and their bytes so far have grown by a part's share of either.
+    whole = max(1, sum(n for _, n in sample))
+    weight = list(accumulate(1 / len(sample) + n / whole for _, n in sample))
+    cuts = sorted({sample[bisect_left(weight, weight[-1] * k / parts)][0] for k in range(1, parts)}) if sample else []
     jobs = [(files, lo, hi) for lo, hi in zip([None, *cuts], [*cuts, None])]
     path = _merged(spark, jobs, "index")
     return spark.read.schema(RUN_SPARK + ", part bigint, n bigint").parquet(path)
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
-    """The records that the index lists: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """The records that the merged index lists, by its ranges and in its order: part, n, page_id, payload_bytes,
+    payload_digest, record_type, refers_to. A range out of order is an error."""
     prepare(index.sparkSession)
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+    schema = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def page(name: str | None) -> int | None:
         m = re.fullmatch(r"<urn:page:(-?\d+)>", name or "")
@@ -261,14 +271,26 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         fs, root = _fs(folder)
-        now, f = None, None
+        files: OrderedDict = OrderedDict()
+
+        def archive(name: str):
+            if name not in files:
+                if len(files) >= OPEN:
+                    files.popitem(last=False)[1].close()
+                files[name] = fs.open_input_file(f"{root}/{name}")
+            files.move_to_end(name)
+            return files[name]
+
+        before: tuple = ()
         for b in batches:
             rows = []
-            for archive, place, size in zip(*(c.to_pylist() for c in b.columns)):
-                if archive != now:
-                    if f is not None:
-                        f.close()
-                    now, f = archive, fs.open_input_file(f"{root}/{archive}")
+            for part, n, *key, size in zip(*(c.to_pylist() for c in b.columns)):
+                now = (part, _key(tuple(key)))
+                if before and before[0] == part and before[1] > now[1]:
+                    raise ValueError(f"the index is out of order in range {part} at {n}")
+                before = now
+                name, place = key[2:]
+                f = archive(name)
                 f.seek(place)
                 fields, block = parse(zlib.decompress(f.read(size), 31))
                 head, _, payload = block.partition(b"\r\n\r\n")
@@ -276,15 +298,17 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
                 kind = fields["warc-type"]
                 if kind == "response" and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
-                    raise ValueError(f"{archive} at {place}: the payload doesn't match its digest")
-                rows.append((page(fields["warc-record-id"]), length, digest, kind, page(fields.get("warc-refers-to"))))
+                    raise ValueError(f"{name} at {place}: the payload doesn't match its digest")
+                rows.append((part, n, page(fields["warc-record-id"]), length, digest, kind, page(fields.get("warc-refers-to"))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), schema)], schema=schema)
-        if f is not None:
+        for f in files.values():
             f.close()
 
-    x = index.select("archive", "place", "size").repartition("archive").sortWithinPartitions("archive", "place")
-    return x.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    # A task a range: adaptive execution would coalesce them by the slim index's bytes.
+    parts = (index.agg(F.max("part")).first()[0] or 0) + 1
+    x = index.select("part", "n", *KEY, "size").repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "n")
+    return x.mapInArrow(run, "part bigint, n bigint, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +317,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captured = F.coalesce(F.pmod(F.col("page_id").cast("bigint"), F.lit(1 << 31)), F.lit(0)) + F.lit(1577836800)
     folder = new_path(spark, "archives")
     runs = write(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"), captured.alias("captured")), folder)
-    return read(merge_index(runs), folder)
+    return read(merge_index(runs), folder).drop("part", "n")
 
 
 SQL = r"""

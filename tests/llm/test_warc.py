@@ -5,6 +5,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm import warc
@@ -44,8 +45,17 @@ def test_odd_pages_and_order(spark, monkeypatch):
     folder = new_path(spark, "archives")
     runs = write(df, folder)
     index = merge_index(runs)
-    got = sorted(map(tuple, read(index, folder).collect()), key=str)
-    assert got == expected([(p[0], p[2]) for p in pages])
+    rows = read(index, folder).collect()
+    assert sorted((tuple(x)[2:] for x in rows), key=str) == expected([(p[0], p[2]) for p in pages])
+    listed = {(x.part, x.n): x.page_id for x in index.collect()}
+    assert {(x.part, x.n): x.page_id for x in rows} == listed
+    order: dict = {}
+    for x in rows:  # each range comes whole and in order
+        assert order.get(x.part, -1) + 1 == x.n
+        order[x.part] = x.n
+    assert len(order) > 1
+    with pytest.raises(Exception, match="out of order"):
+        read(index.withColumn("n", -F.col("n")), folder).collect()
     keys = [warc._key((x.url_key, x.captured, x.archive, x.place)) for x in index.orderBy("part", "n").collect()]
     assert keys == sorted(keys) and len(keys) == len(pages) == len(set(keys)) and index.select("part").distinct().count() > 1
     empty = write(df.filter("page_id = -5"), new_path(spark, "archives"))
