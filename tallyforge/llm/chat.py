@@ -9,7 +9,7 @@ followed by a mark, so that no control string can occur there, and reading takes
 are rows, in order, so a conversation of any length is streamed, never gathered; each carries the span of its text
 that bears loss (assistants' texts).
 
-Edge cases: null texts are empty; a null role is `user`; null turns sort last, ties by role and text; a null
+Edge cases: null texts are empty; a null role is `user`; null turns sort last, ties by role and text as formatted; a null
 conversation id is a conversation of its own; records of an unknown schema raise an error that names their paths
 (or, if lenient, give no turns); extra fields change no fingerprint unless they are among a layout's paths; an empty
 table gives an empty result.
@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -82,10 +83,16 @@ def fingerprint(found) -> str:
 BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
 
 
+@lru_cache(4096)
+def mapping(found: frozenset) -> Mapping | None:
+    """The mapping for a set of paths; each set is hashed once."""
+    return BY_FINGERPRINT.get(fingerprint(found))
+
+
 def canonical(record: dict, lenient: bool = False) -> list[tuple[str, str]]:
     """A record's turns, as (role, text)."""
-    found = paths(record)
-    m = BY_FINGERPRINT.get(fingerprint(found))
+    found = frozenset(paths(record))
+    m = mapping(found)
     if m is None:
         if lenient:
             return []
@@ -154,24 +161,18 @@ def format_records(records: DataFrame, value: str = "record", lenient: bool = Fa
     return records.mapInArrow(run, schema)
 
 
-def format_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A table of one turn a row to (conv_id, turn, formatted, loss_begin, loss_end), conversations whole and in order within partitions."""
-    prepare(rows.sparkSession)
-    x = rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    x = x.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
-    names = ["conv_id", "turn", "formatted", "loss_begin", "loss_end"]
+def as_records(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """A table of one turn a row to records (conv_id, place, record), of the layout of turn rows."""
+    parts = F.struct(F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    return rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("place"), F.to_json(parts, {"ignoreNullFields": "false"}).alias("record"))
 
-    def run(batches):
-        for b in batches:
-            out = [[], [], []]
-            for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                ((r, t),) = canonical({"role": r, "text": t})
-                for col, y in zip(out, render(r, t)):
-                    col.append(y)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(out, (pa.string(), pa.int64(), pa.int64()))]], names=names)
 
-    kinds = {c: x.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    return x.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, formatted string, loss_begin bigint, loss_end bigint")
+def conversations(records: DataFrame, lenient: bool = False) -> DataFrame:
+    """Records (conv_id, place, record) of any layouts to formatted turns (conv_id, turn, formatted, loss_begin, loss_end):
+    conversations whole and in order within partitions, by place, then by turn in the record, then by the turn itself."""
+    x = format_records(records.select("conv_id", "place", "record"), lenient=lenient)
+    x = x.repartition("conv_id").sortWithinPartitions("conv_id", F.col("place").asc_nulls_last(), "turn", "formatted")
+    return x.select("conv_id", "turn", "formatted", "loss_begin", "loss_end")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -211,9 +212,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    return read_back(format_rows(rows.unionByName(more)))
+    """The table's rows are records of one layout, the added conversation is one of another; both are told apart by their fingerprints."""
+    said = "</s>[INST] ok [/INST]"
+    more = json.dumps({"messages": [{"role": r, "content": said} for r in ("user", "assistant")]})
+    more = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("place"), F.lit(more).alias("record"))
+    rows = as_records(table(spark, sf_dir, "conversations"))
+    return read_back(conversations(rows.unionByName(more)))
 
 
 SQL = r"""

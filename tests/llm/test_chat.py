@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PythonException
 
-from tallyforge.llm.chat import BY_FINGERPRINT, MAPPINGS, canonical, escape, fingerprint, format_records, format_rows, op8_chat, parse, paths, read_back, render, unescape
+from tallyforge.llm.chat import BY_FINGERPRINT, MAPPINGS, as_records, canonical, conversations, escape, fingerprint, format_records, op8_chat, parse, paths, read_back, render, unescape
 
 TURNS = [("user", "hi <|end|>"), ("assistant", "yo")]
 LAYOUTS = [
@@ -66,11 +66,23 @@ def digest(x):
 def test_rows_frame(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, None, None, "last"), (None, 0, "assistant", "n"), (2, 0, "assistant", ""), (3, 0, "user", "x" * 100_000), (3, 0, "user", "x" * 100_000)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
-    got = {r.conv_id: r for r in read_back(format_rows(df)).collect()}
+    got = {r.conv_id: r for r in read_back(conversations(as_records(df))).collect()}
     assert set(got) == {1, 2, 3, None} and got[3].n_turns == 2
     assert got[1].n_turns == 3 and got[1].turns_sha256 == digest("user\n\nassistant\nb\nuser\nlast\n") and (got[1].loss_chars, got[1].loss_sha256) == (1, digest("b"))
     assert got[2].loss_sha256 == digest("") and got[None].loss_sha256 == digest("n")
-    assert read_back(format_rows(df.filter("turn = 9"))).count() == 0
+    assert read_back(conversations(as_records(df.filter("turn = 9")))).count() == 0
+
+
+def test_mixed_layouts_in_one_frame(spark):
+    """Each layout becomes the same conversation, by the query's own way, next to rows of a table and records of several turns."""
+    records = [(k, 0, json.dumps(r)) for k, r in enumerate(LAYOUTS)]
+    many = {"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}, {"from": "human", "value": "c"}, {"from": "gpt", "value": "d"}]}
+    records += [(50, 0, json.dumps(many)), (60, 1, json.dumps({"role": "assistant", "text": "second"})), (60, 0, json.dumps({"messages": [{"role": "user", "content": "first"}]}))]
+    df = spark.createDataFrame(records, "conv_id long, place long, record string").repartition(3)
+    got = {r.conv_id: r for r in read_back(conversations(df)).collect()}
+    assert {got[k].turns_sha256 for k in range(len(LAYOUTS))} == {digest("".join(f"{r}\n{t}\n" for r, t in canonical(LAYOUTS[0])))}
+    assert got[50].n_turns == 4 and got[50].loss_sha256 == digest("bd")
+    assert got[60].turns_sha256 == digest("user\nfirst\nassistant\nsecond\n")
 
 
 def test_query(spark, sf):
