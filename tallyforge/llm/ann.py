@@ -1,19 +1,22 @@
 """Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised residuals.
 
 Fitting (on about `SAMPLE` vectors, those of the smallest hashed ids): coarse centroids, about sqrt(n) of them, and
-for each group of components 256 code words of the residuals. Indexing covers every vector: its list (nearest
-centroid) and its residual's codes. A query probes a share of the lists, those whose centroids have the largest
-inner product with it; within a list, candidates are ranked by asymmetric distance tables (query against code words, no decoding),
-the best `rerank` of each block are scored exactly on the original vectors in double precision, and the best k over
-all blocks are kept, ties to the smaller id.
+for each group of components 256 code words of the residuals; and how many lists a query has to probe: as many as hold
+`TARGET` of the sample's own nearest neighbours. Indexing covers every vector: its list (nearest centroid) and its
+residual's codes. A query probes the lists whose centroids have the largest inner product with it.
 
-Lists are joined to their queries in blocks of at most about `BLOCK` vectors and `QUERIES` queries, so a list that
-holds a third of all vectors is spread over many tasks, and nothing is gathered in one place but centroids, code
-words and lists' sizes, which are bounded by `LISTS`.
+Lists are packed into blocks of about `BLOCK` vectors (larger lists are split), and a query goes once to each block in
+which it probes a list. A task holds a block's vectors and streams the block's queries past them (`QUERIES` at most;
+beyond, the block is held by several tasks). All candidates of a query in the block are ranked together by their
+centroid's inner product plus asymmetric distance tables (query against code words, no decoding; one table for all the
+lists), the best `RERANK` are scored exactly on the original vectors in double precision, and the best k over all
+blocks are kept, ties to the smaller id. So a list that holds a third of all vectors is spread over many tasks, and
+nothing is gathered in one place but centroids, code words and lists' sizes, which are bounded by `LISTS`.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those without
 id or of another length than most; of rows with equal ids the one with the least vector counts; copies tie and rank
 by id; with fewer than k candidates all are returned; extra columns don't matter; an empty table gives an empty result.
+Vectors of doubles are scored as doubles; only the index rounds them.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ from pyspark.sql import functions as F
 from .common import prepare, sampled, save, table
 
 SAMPLE, LISTS, WORDS = 20_000, 8_192, 256
-BLOCK, QUERIES = 4_096, 1_024
-RERANK = 40
-#: Share of the lists that a query probes, and how many at least. So many are what vectors of little structure need for a recall of 0.9 (measured in README.md); clustered ones need far less.
-SHARE, PROBES = 0.6, 32
+BLOCK, QUERIES = 4_096, 65_536
+RERANK = 50
+#: Queries that a task searches for at once, and vectors whose sums it holds in the processor's cache.
+CHUNK, ROWS = 256, 512
+#: Tasks of the search, at most.
+TASKS = 4_096
+#: Share of the sample's nearest neighbours that the probed lists must hold, of how many queries it is measured, and how many lists are probed at least.
+TARGET, MEASURED, PROBES = 0.96, 512, 8
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -70,14 +77,27 @@ class Index:
         rest = (x - self.coarse[at]).reshape(len(x), self.groups, -1)
         return at, np.stack([_nearest(np.ascontiguousarray(rest[:, g]), self.words[g]) for g in range(self.groups)], axis=1).astype(np.uint8)
 
-    def probe(self, q: np.ndarray, used: np.ndarray, probes: int) -> np.ndarray:
-        """For each query, the lists to search among those used."""
+    def probes(self, sample: np.ndarray, k: int) -> int:
+        """How many lists hold TARGET of the k nearest of the sample to some of its members."""
+        some = np.linspace(0, len(sample) - 1, min(MEASURED, len(sample))).astype(np.int64)
+        at = _nearest(sample, self.coarse)
+        near = sample[some] @ sample.T
+        near[np.arange(len(some)), some] = -np.inf
+        best = np.argpartition(-near, min(k, len(sample) - 1) - 1, axis=1)[:, :k] if len(sample) > 1 else np.zeros((len(some), 1), np.int64)
+        place = np.empty((len(some), len(self.coarse)), np.int64)  # of each list, in the order in which a query probes
+        np.put_along_axis(place, np.argsort(-(sample[some] @ self.coarse.T), axis=1, kind="stable"), np.arange(len(self.coarse))[None], axis=1)
+        need = np.sort(np.take_along_axis(place, at[best], axis=1).ravel())
+        return max(PROBES, int(need[min(len(need) - 1, int(np.ceil(TARGET * len(need))))]) + 1)
+
+    def probe(self, q: np.ndarray, used: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query, whether each of the lists in use is searched, and the least inner product of such a list."""
         near = q @ self.coarse[used].T
-        return used[np.argsort(-near, axis=1, kind="stable")[:, :probes]]
+        least = np.partition(near, len(used) - probes, axis=1)[:, len(used) - probes] if probes < len(used) else np.full(len(q), -np.inf, np.float32)
+        return near >= least[:, None], least
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of each query's parts with the code words: queries by groups by words."""
-        return np.einsum("qgd,gwd->qgw", q.reshape(len(q), self.groups, -1), self.words)
+        """Inner products of the code words with each query's parts: groups by words by queries."""
+        return np.ascontiguousarray(np.einsum("qgd,gwd->gwq", q.reshape(len(q), self.groups, -1), self.words))
 
 
 def _vectors(col) -> np.ndarray:
@@ -93,22 +113,41 @@ def usable(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> Dat
     """(key, vector) of the vectors that take part, once an id."""
     v = F.col("vector")
     fine = F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    x = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vector")).filter(fine)
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    x = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast(kind).alias("vector")).filter(fine)
     common = x.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return x.filter(F.size("vector") == (common[0] if common else 0)).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE, rerank: int = RERANK) -> DataFrame:
+def _packed(sizes: dict[int, int]) -> list[tuple[int, int, int]]:
+    """Lists by size to (list, first block, number of blocks): blocks of several lists, or lists in several blocks."""
+    out, block, held = [], 0, 0
+    for i in sorted(sizes):
+        n = sizes[i]
+        if held and held + n > BLOCK:
+            block, held = block + 1, 0
+        split = -(-n // BLOCK)
+        out.append((i, block, split))
+        if split > 1:
+            block += split
+        else:
+            held += n
+    return out
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, rerank: int = RERANK) -> DataFrame:
     """(id, vector) as by usable() to (query_id, rank, vec_id, score): for the rows of is_query the k nearest others."""
     spark = vectors.sparkSession
     prepare(spark)
+    kind = vectors.schema["vector"].dataType.simpleString()
     vectors = save(vectors, "vectors")
     n = vectors.count()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if n == 0:
         return spark.createDataFrame([], schema)
-    sample = sampled(vectors, SAMPLE, n, "id").toArrow()
-    index = Index(_vectors(sample.column("vector")).astype(np.float32), min(LISTS, int(np.ceil(np.sqrt(n)))))
+    sample = _vectors(sampled(vectors, SAMPLE, n, "id").toArrow().column("vector")).astype(np.float32)
+    index = Index(sample, min(LISTS, int(np.ceil(np.sqrt(n)))))
+    probes = index.probes(sample, k)
     shared = spark.sparkContext.broadcast(index)
 
     def encoded(batches):
@@ -116,68 +155,112 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE, rer
             at, codes = shared.value.encode(_vectors(b.column(1)).astype(np.float32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vector", "list", "codes"])
 
-    indexed = save(vectors.mapInArrow(encoded, "id bigint, vector array<float>, list int, codes binary"), "index")
-    sizes = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}
-    used = np.array(sorted(sizes))
-    probes = max(PROBES, int(np.ceil(share * len(used))))
+    indexed = save(vectors.mapInArrow(encoded, f"id bigint, vector {kind}, list int, codes binary"), "index")
+    packed = _packed({r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()})
+    used = np.array([i for i, _, _ in packed])
+    first, split = np.array([b for _, b, _ in packed]), np.array([s for _, _, s in packed])
+    blocks = int((first + split).max())
+    placed = np.zeros((len(used), blocks), bool)  # which lists are in which blocks
+    for j, (_, b, s) in enumerate(packed):
+        placed[j, b : b + s] = True
+    where = spark.sparkContext.broadcast((used, placed))
 
     def probing(batches):
         for b in batches:
-            q = _vectors(b.column(1)).astype(np.float32)
-            lists = shared.value.probe(q, used, probes)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists.tolist(), pa.list_(pa.int32()))], names=["id", "vector", "lists"])
-
-    queries = indexed.filter(is_query).select("id", "vector").mapInArrow(probing, "id bigint, vector array<float>, lists array<int>")
-    queries = queries.select("id", "vector", F.explode("lists").alias("list"))
-    asked = {r["list"]: r["count"] for r in queries.groupBy("list").count().collect()}
-    parts = [(i, -(-sizes[i] // BLOCK), -(-asked.get(i, 0) // QUERIES)) for i in sizes]
-    parts = spark.createDataFrame(parts, "of int, v_blocks int, q_blocks int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+            used, placed = where.value
+            asked, least = shared.value.probe(_vectors(b.column(1)).astype(np.float32), used, probes)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.flatnonzero(x) for x in asked @ placed], pa.list_(pa.int32())), pa.array(least)], names=["id", "vector", "blocks", "least"])
+
+    of = F.broadcast(spark.createDataFrame([(int(i), int(b), int(s)) for i, b, s in packed], "of int, first int, split int"))
     spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    left = indexed.join(F.broadcast(parts.filter("q_blocks > 0")), F.col("list") == F.col("of")).select("list", spread(F.col("v_blocks")).alias("v"), each(F.col("q_blocks")).alias("q"), "id", "vector", "codes")
-    right = queries.join(F.broadcast(parts), F.col("list") == F.col("of")).select("list", each(F.col("v_blocks")).alias("v"), spread(F.col("q_blocks")).alias("q"), "id", "vector")
-    out_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def search(block: pa.Table, asking: pa.Table) -> pa.Table:
-        if not len(block) or not len(asking):
-            return out_schema.empty_table()
-        ids = np.asarray(block.column("id"))
-        order = np.argsort(ids, kind="stable")  # ties go to the smaller id
-        ids, x = ids[order], _vectors(block.column("vector"))[order].astype(np.float64)
-        codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-        q_ids, q = np.asarray(asking.column("id")), _vectors(asking.column("vector"))
-        found: list[list[np.ndarray]] = [[], [], []]
-        some = max(1, (1 << 20) // len(ids))
-        for lo in range(0, len(q), some):
-            part, part_ids = q[lo : lo + some].astype(np.float64), q_ids[lo : lo + some]
-            tables = shared.value.tables(q[lo : lo + some].astype(np.float32))
-            near = tables[:, 0][:, codes[:, 0]]  # the list's own centroid adds the same to all of a block
-            for g in range(1, codes.shape[1]):
-                near += tables[:, g][:, codes[:, g]]
-            near[part_ids[:, None] == ids[None]] = -np.inf
-            if len(ids) > 4 * rerank:  # those above the last score that can be among the best; ties in the order of ids
-                least = np.partition(near, len(ids) - rerank, axis=1)[:, len(ids) - rerank]
-                rank = (near > least[:, None]) * 2 + (near == least[:, None])
-                best = np.argsort(-rank.astype(np.int8), axis=1, kind="stable")[:, :rerank]
-            else:
-                best = np.argsort(-near, axis=1, kind="stable")[:, :rerank]
-            best.sort(axis=1)
-            exact = np.empty(best.shape)
-            for i in range(len(part)):
-                exact[i] = (x[best[i]] * part[i]).sum(axis=1)
-            exact[part_ids[:, None] == ids[best]] = -np.inf
-            top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-            exact, best = np.take_along_axis(exact, top, 1).ravel(), np.take_along_axis(best, top, 1).ravel()
-            ok = exact > -np.inf
-            found[0].append(np.repeat(part_ids, top.shape[1])[ok])
-            found[1].append(ids[best][ok])
-            found[2].append(exact[ok])
-        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in found], schema=out_schema)
-
-    keys = ["list", "v", "q"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
+    parts = max(1, -(-indexed.filter(is_query).count() // QUERIES))
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    left = indexed.join(of, F.col("list") == F.col("of")).select((F.col("first") + spread(F.col("split"))).alias("block"), part, F.lit(False).alias("asks"), "id", "vector", "list", "codes", F.lit(None).cast("float").alias("least"))
+    right = indexed.filter(is_query).select("id", "vector").mapInArrow(probing, f"id bigint, vector {kind}, blocks array<int>, least float")
+    right = right.select(F.explode("blocks").alias("block"), spread(F.lit(parts)).alias("part"), F.lit(True).alias("asks"), "id", "vector", F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("codes"), "least")
+    tasks = min(blocks * parts, TASKS)
+    both = left.unionAll(right).repartitionById(tasks, F.pmod(F.col("block") * parts + F.col("part"), F.lit(tasks)).cast("int"))
+
+    def search(batches):
+        now, block, parts = None, None, []
+        for b in batches:
+            key = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+            cuts = [0, *(np.flatnonzero((np.diff(key, axis=1) != 0).any(axis=0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                rows = b.slice(lo, hi - lo)
+                if not key[2, lo]:
+                    if now != (at := tuple(key[:2, lo])):
+                        now, block, parts = at, None, []
+                    parts.append(rows)
+                elif now == tuple(key[:2, lo]):
+                    if block is None:
+                        block = _Block(shared.value, pa.Table.from_batches(parts))
+                        parts = []
+                    for k in range(0, len(rows), CHUNK):
+                        yield block.search(rows.slice(k, CHUNK), rerank, top)
+
+    top = k
+    found = both.sortWithinPartitions("block", "part", "asks").mapInArrow(search, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+class _Block:
+    """A block's vectors, by list and id, and the search among them."""
+
+    def __init__(self, index: Index, rows: pa.Table):
+        ids, lists = np.asarray(rows.column("id")), np.asarray(rows.column("list"))
+        order = np.lexsort((ids, lists))
+        self.index, self.ids = index, ids[order]
+        self.x = _vectors(rows.column("vector"))[order].astype(np.float64)
+        self.codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order].T.astype(np.intp)
+        self.lists, first = np.unique(lists[order], return_index=True)
+        self.bounds = list(zip(first.tolist(), [*first[1:].tolist(), len(ids)]))
+
+    def near(self, q: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Queries by vectors: approximate inner products, -inf in lists that aren't probed."""
+        coarse = self.index.coarse[self.lists] @ q.T
+        tables = self.index.tables(q)
+        out = np.full((len(self.ids), len(q)), -np.inf, np.float32)
+        for (lo, hi), c in zip(self.bounds, coarse):
+            asked = np.flatnonzero(c >= least)
+            if not len(asked):
+                continue
+            few = (tables.shape[1] + hi - lo) * len(asked) < (hi - lo) * len(q)
+            t = np.ascontiguousarray(tables[:, :, asked]) if few else tables
+            for at in range(lo, hi, ROWS):
+                code = self.codes[:, at : min(at + ROWS, hi)]
+                sums = np.take(t[0], code[0], axis=0)
+                more = np.empty_like(sums)
+                for g in range(1, len(code)):
+                    np.take(t[g], code[g], axis=0, out=more, mode="clip")
+                    sums += more
+                if few:
+                    out[at : at + len(sums), asked] = sums + c[asked]
+                else:
+                    out[at : at + len(sums)] = np.where(c >= least, sums + c, -np.inf)
+        return np.ascontiguousarray(out.T)
+
+    def search(self, asking: pa.RecordBatch, rerank: int, k: int) -> pa.RecordBatch:
+        ids, q = np.asarray(asking.column("id")), _vectors(asking.column("vector"))
+        near = self.near(q.astype(np.float32), np.asarray(asking.column("least")))
+        near[ids[:, None] == self.ids[None]] = -np.inf
+        chosen = near > -np.inf
+        if near.shape[1] > rerank:
+            least = np.partition(near, near.shape[1] - rerank, axis=1)[:, near.shape[1] - rerank]
+            chosen &= near >= least[:, None]
+            for i in np.flatnonzero(chosen.sum(axis=1) > rerank):  # of ties the first, which in a list is the smaller id
+                above = int((near[i] > least[i]).sum())
+                chosen[i, np.flatnonzero(near[i] == least[i])[rerank - above :]] = False
+        of, at = np.nonzero(chosen)
+        exact = np.einsum("ij,ij->i", self.x[at], q.astype(np.float64)[of])
+        order = np.lexsort((self.ids[at], -exact, of))
+        of, at, exact = of[order], at[order], exact[order]
+        first = np.searchsorted(of, of, side="left")
+        best = np.arange(len(of)) - first < k
+        return pa.RecordBatch.from_arrays([pa.array(ids[of[best]]), pa.array(self.ids[at[best]]), pa.array(exact[best])], names=["query_id", "vec_id", "score"])
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,9 @@ def test_query(spark, sf):
 
 def test_recall_without_structure_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 50)
-    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "QUERIES", 40)
+    monkeypatch.setattr(ann, "CHUNK", 7)
+    monkeypatch.setattr(ann, "TASKS", 5)
     r = np.random.default_rng(0)
     x = r.normal(size=(5000, 32)).astype(np.float32)
     rows = nearest(usable(frame(spark, range(5000), x)), F.col("id") % 50 == 0).collect()
@@ -60,6 +62,22 @@ def test_a_third_are_copies(spark):
     assert [v for _, v, _ in by[0]] == list(range(3, 63, 3))  # ties to the smaller id
 
 
+def test_doubles_are_scored_as_doubles(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    compare(nearest(usable(df), F.col("id") % 20 == 0).collect(), np.arange(300), x, 0.95)
+
+
+def test_clustered_vectors_need_few_lists(spark):
+    r = np.random.default_rng(5)
+    x = (r.normal(size=(60, 32))[r.integers(0, 60, 6000)] * 4 + r.normal(size=(6000, 32))).astype(np.float32)
+    index = ann.Index(x[:3000], 78)
+    assert index.probes(x[:3000], 20) < 40
+    rows = nearest(usable(frame(spark, range(6000), x)), F.col("id") % 60 == 0).collect()
+    compare(rows, np.arange(6000), x.astype(np.float64), 0.9)
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (1, [0.4, 1.0]), (20, [1.0, 0.0])]
     df = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "vec_id long, embedding array<double>, rank int, score double")
