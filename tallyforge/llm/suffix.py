@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named_table, new_path, prepare, save, table
+from .common import ROW_GROUP, named_table, new_path, prepare, save, table
 
 GRAM = 16
 #: Distinct contexts of a group that are compared in one task.
 HOT = 20_000
 #: Bytes of text scanned at once.
 PART = 2 << 20
+#: Bytes of the input's files a bucket of the texts' table, and how many buckets Spark allows.
+BUCKET, MOST = 128 << 20, 100_000
 
 
 def _owners(data: np.ndarray, length: int) -> np.ndarray:
@@ -271,14 +273,25 @@ def _cut(texts: DataFrame, repeats: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
+def _buckets(docs: DataFrame) -> int:
+    """Buckets of about `BUCKET` bytes of the input's files, no fewer than the session's shuffle partitions."""
+    size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 60 else 0  # frames that aren't of files have no size
+    return min(MOST, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET)))
+
+
 def text_table(docs: DataFrame) -> DataFrame:
     """(text) to (key, text, copies), once a text, bucketed by key."""
     spark = docs.sparkSession
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.unhex(F.md5(t)).alias("key"), t.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     name = named_table(spark, "texts")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts.write.bucketBy(n, "key").format("parquet").option("compression", "zstd").option("path", new_path(spark, "texts")).saveAsTable(name)
+    n, before = _buckets(docs), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)  # so a task's rows are of its own buckets
+    try:
+        texts.write.bucketBy(n, "key").format("parquet").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("path", new_path(spark, "texts")).saveAsTable(name)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.table(name)
 
 

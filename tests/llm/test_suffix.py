@@ -52,6 +52,26 @@ def test_query(spark, sf):
     assert [got[d.doc_id] for d in docs] == want
 
 
+def test_buckets_follow_the_input(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert suffix._buckets(docs) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(suffix, "BUCKET", 10_000)
+    n = suffix._buckets(docs)
+    assert 4 < n < 100 and text_table(docs).count() == docs.select("text").distinct().count()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    monkeypatch.setattr(suffix, "MOST", 7)
+    assert suffix._buckets(docs) == 7
+
+
+def test_odd_documents(spark, odd_docs):
+    """Nulls, long texts, copies, and columns of the operator's own names."""
+    docs = odd_docs.selectExpr("*", "1 as copies", "'k' as key", "0 as begin", "9 as n_bytes")
+    texts = text_table(docs)
+    got = {bytes(r.key): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in _cut(texts, repeats(texts, 50), 50).collect()}
+    b = [(r.text or "").encode() for r in docs.select("text").collect()]
+    assert [got[hashlib.md5(x).digest()] for x in b] == brute(b, 50)
+
+
 def test_no_documents(spark, no_docs):
     texts = text_table(no_docs)
     assert repeats(texts).count() == 0 and _cut(texts, repeats(texts), 400).count() == 0
