@@ -8,7 +8,9 @@ score of a text is the sum over all paths of states, times the words' probabilit
 Baum-Welch runs over all training documents: each task adds up expected counts (states by states, classes by
 states) of its texts, Spark adds these up by class, and the driver turns them into parameters, whose size is fixed
 by `OWN`, `ENDINGS` and the number of states. For training, texts of over `PIECE` tokens are cut into pieces of
-that length, so that tasks advance many sequences at a time; scores take whole texts as one sequence.
+that length, so that tasks advance many sequences at a time: a piece that doesn't begin a text begins with the chain's
+stationary distribution and isn't counted as a start, and one transition in `PIECE` goes uncounted. Scores take whole
+texts as one sequence.
 
 Counts of all training tokens are a table. The most frequent, at most `HEAD`, are sent to the tasks; the rest of the tokens
 of the texts is joined to the table by word. Both bounds are fixed, while the table and the join grow with the input.
@@ -191,9 +193,15 @@ class Model:
         start = start + 1.0
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True)) if k else Model(start, move, emit)
 
-    def expected(self, flat: np.ndarray, sizes: np.ndarray, into: list[np.ndarray]) -> None:
-        """Adds the expected counts of sequences, one after the other in flat, to into (start, move, emit)."""
+    def stationary(self) -> np.ndarray:
+        """The states' shares in the long run."""
+        k = len(self.start)
+        return np.linalg.lstsq(np.vstack([self.move.T - np.eye(k), np.ones(k)]), np.append(np.zeros(k), 1.0), rcond=None)[0].clip(1e-12)
+
+    def expected(self, flat: np.ndarray, sizes: np.ndarray, into: list[np.ndarray], begins: np.ndarray | None = None) -> None:
+        """Adds the expected counts of sequences, one after the other in flat, to into (start, move, emit). begins: whether a sequence is a text's beginning."""
         order = np.argsort(-sizes, kind="stable")
+        begins = np.ones(len(sizes), bool) if begins is None else begins[order]
         begin = (np.cumsum(sizes) - sizes)[order]
         sizes = sizes[order]
         steps = int(sizes[0])
@@ -204,9 +212,10 @@ class Model:
         seen = emit[obs]
         alpha = np.empty((len(obs), k))
         scale = np.empty(len(obs))
+        first = np.where(begins[:, None], self.start, self.stationary())
         for t in range(steps):
             lo, hi = at[t], at[t + 1]
-            a = (alpha[at[t - 1] : at[t - 1] + hi - lo] @ move if t else self.start) * seen[lo:hi]
+            a = (alpha[at[t - 1] : at[t - 1] + hi - lo] @ move if t else first) * seen[lo:hi]
             s = a.sum(axis=1)
             scale[lo:hi] = s
             np.divide(a, s[:, None], out=alpha[lo:hi])
@@ -222,7 +231,7 @@ class Model:
             beta = np.ones((len(before), k))
             beta[:n] = later @ move.T
         alpha[: at[1]] *= beta
-        into[0] += alpha[: at[1]].sum(axis=0)
+        into[0] += alpha[: at[1]][begins].sum(axis=0)
         into[1] += moved * move
         for j in range(k):
             into[2][:, j] += np.bincount(obs, alpha[:, j], len(emit))
@@ -272,10 +281,12 @@ def _step(rows: DataFrame, model: Model, prior: np.ndarray) -> Model:
         m = shared.value
         into = [np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit)]
         for _, flat, sizes in _lists(batches, 0):
-            pieces = []
+            pieces, begins = [], []
             for n in sizes.tolist():
-                pieces += [PIECE] * (n // PIECE) + [n % PIECE] * (n % PIECE > 0)
-            m.expected(flat, np.array(pieces), into)
+                cut = [PIECE] * (n // PIECE) + [n % PIECE] * (n % PIECE > 0)
+                pieces += cut
+                begins += [True] + [False] * (len(cut) - 1)
+            m.expected(flat, np.array(pieces), into, np.array(begins))
         used = np.flatnonzero(into[2].any(axis=1))
         classes = np.concatenate([[-1], np.arange(-1 - k, -1), used])  # start, then states, then classes
         values = np.concatenate([into[0][None], into[1], into[2][used]])

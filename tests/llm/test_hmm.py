@@ -79,6 +79,41 @@ def test_query(spark, sf, monkeypatch, head, own):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_by_document(spark, sf, monkeypatch):
+    """Each document's score against a plain forward recursion over its words."""
+    monkeypatch.setattr(hmm, "HEAD", 500)
+    monkeypatch.setattr(hmm, "OWN", 120)
+    monkeypatch.setattr(hmm, "PIECE", 64)
+    got = {}
+    scored, encoded = hmm._scored, hmm._encoded
+    monkeypatch.setattr(hmm, "_scored", lambda rows, m: got.update(model=m) or scored(rows, m))
+    monkeypatch.setattr(hmm, "_encoded", lambda docs, voc: got.update(voc=voc) or encoded(docs, voc))
+    rows = {r.doc_id: r.score for r in op2_hmm(spark, sf).collect()}
+    m, voc = got["model"], got["voc"]
+    docs = {r.doc_id: hmm.tokens(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    counts = Counter(w for i, ws in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    own = {w: k for k, (w, _) in enumerate(voc.head[: voc.own])}
+    for i, ws in docs.items():
+        total, a = 0.0, None
+        for w in ws:
+            c = own.get(w, voc.own + hmm.ending(w))
+            if w not in own:
+                total += math.log10(counts[w] + 1) - voc.rest[hmm.ending(w)]
+            a = (m.start if a is None else a @ m.move) * m.emit[c]
+            total += math.log10(a.sum())
+            a = a / a.sum()
+        assert math.isclose(rows[i], total, rel_tol=1e-9), i
+
+
+def test_pieces_of_a_text_are_no_starts():
+    m, r = model(), np.random.default_rng(3)
+    seq = r.integers(0, 5, 7)
+    into = [np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))]
+    m.expected(seq, np.array([4, 3]), into, np.array([True, False]))
+    assert math.isclose(into[0].sum(), 1) and math.isclose(into[1].sum(), 5) and math.isclose(into[2].sum(), 7)
+    assert np.allclose(m.stationary() @ m.move, m.stationary()) and math.isclose(m.stationary().sum(), 1)
+
+
 def test_words_in_a_class_sum_to_one(spark, sf, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 300)
     monkeypatch.setattr(hmm, "OWN", 50)
