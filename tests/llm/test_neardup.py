@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from tallyforge.llm import neardup
 
 
 def shingles(text):
@@ -64,6 +65,24 @@ def test_all_pairs(spark):
     assert all(by[x.doc_id] == x.text for x in kept)
 
 
+def test_blocks_of_a_large_group(spark, monkeypatch):
+    """A group of many unlike texts with a passage in common, searched in blocks, loses no link."""
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6)))
+    passage = [word() for _ in range(120)]
+    rows = []
+    for k in range(50):
+        w = passage + [word() for _ in range(60)]
+        rows.append((3 * k, " ".join(w)))
+        for j in (1, 2):
+            v = list(w)
+            v[130 + j : 132 + j] = [word(), word()]
+            rows.append((3 * k + j, " ".join(v)))
+    kept = neardup.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(x.doc_id for x in kept) == sorted(brute(rows)) == list(range(0, 150, 3))
+
+
 def test_sf(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = sorted(tuple(x) for x in docs.collect())
