@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import decimals, text, times
+from .operators import routing
 from .plans.compile import compile_plan
 from .plans.spec import Agg, Plan, Scan, Stage
-from .session import require
+from .session import require, scratch
 from .sources.scan import from_text
 from .streaming import events as streams
 from .types import Kind
@@ -212,6 +211,11 @@ def ts_render(spark, d):
     return table(spark, d, "orders").select("o_orderkey", times.render(F.col("o_orderdate")).alias("t"))
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S') AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS m FROM events")
+def ts_modes(spark, d):
+    return table(spark, d, "events").select("event_id", *[times.render(F.col("ts"), m).alias(n) for n, m in (("d", "date"), ("t", "time"), ("s", "seconds"), ("m", "millis"))])
+
+
 @query("SELECT o_orderkey, CASE WHEN regexp_replace((o_totalprice::DECIMAL(18,4))::VARCHAR, '0+$', '') LIKE '%.' THEN regexp_replace((o_totalprice::DECIMAL(18,4))::VARCHAR, '0+$', '') || '0' ELSE regexp_replace((o_totalprice::DECIMAL(18,4))::VARCHAR, '0+$', '') END AS t FROM orders")
 def decimal_render(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.decimal(F.col("o_totalprice").cast("decimal(18,4)")).alias("t"))
@@ -225,16 +229,43 @@ def double_render(spark, d):
 _SPLIT = "SELECT c_nationkey::BIGINT AS k, sum({x}::DECIMAL(38,2))::DECIMAL(38,2) AS total FROM customer GROUP BY 1"
 
 
+def _wide(spark: SparkSession, d: str, shift: int) -> DataFrame:
+    """Customers' balances, shifted, as wide decimals."""
+    x = decimals.of_decimal((F.col("c_acctbal") + shift).cast("decimal(38,2)"))
+    return table(spark, d, "customer").select(F.col("c_nationkey").cast("bigint").alias("k"), x.alias("w"))
+
+
+def _narrow(w: str):
+    return (F.col(f"{w}.hi") + F.col(f"{w}.lo").cast("decimal(2,2)")).cast("decimal(38,2)")
+
+
 @query(_SPLIT.format(x="(c_acctbal + 10000)"))
 def wide_decimal_sum(spark, d):
-    x = table(spark, d, "customer").select(F.col("c_nationkey").cast("bigint").alias("k"), decimals.of_decimal((F.col("c_acctbal") + 10000).cast("decimal(38,2)")).alias("w"))
-    return x.groupBy("k").agg(decimals.total(F.col("w")).alias("w")).select("k", (F.col("w.hi") + F.col("w.lo").cast("decimal(2,2)")).cast("decimal(38,2)").alias("total"))
+    return run(spark, _wide(spark, d, 10000), Stage(["k"], [Agg("sum", "w", "w")])).select("k", _narrow("w").alias("total"))
 
 
 @query(_SPLIT.format(x="(c_acctbal - 5000)"))
 def wide_decimal_signed(spark, d):
-    x = table(spark, d, "customer").select(F.col("c_nationkey").cast("bigint").alias("k"), decimals.of_decimal((F.col("c_acctbal") - 5000).cast("decimal(38,2)")).alias("w"))
-    return x.groupBy("k").agg(decimals.total(F.col("w")).alias("w")).select("k", (F.col("w.hi") + F.col("w.lo").cast("decimal(2,2)")).cast("decimal(38,2)").alias("total"))
+    return run(spark, _wide(spark, d, -5000), Stage(["k"], [Agg("sum", "w", "w")])).select("k", _narrow("w").alias("total"))
+
+
+@query("SELECT c_nationkey::BIGINT AS k, min(x) AS lo, max(x) AS hi, count(x)::BIGINT AS n, count(DISTINCT x)::BIGINT AS m, sum(DISTINCT x)::DECIMAL(38,2) AS s FROM (SELECT c_nationkey, round(c_acctbal / 1000)::DECIMAL(38,2) AS x FROM customer) GROUP BY 1")
+def wide_decimal_aggregates(spark, d):
+    x = table(spark, d, "customer").select(F.col("c_nationkey").cast("bigint").alias("k"), decimals.of_decimal(F.round(F.col("c_acctbal") / 1000).cast("decimal(38,2)")).alias("w"))
+    out = run(spark, x, Stage(["k"], [Agg("min", "w", "lo"), Agg("max", "w", "hi"), Agg("count", "w", "n"), Agg("count_distinct", "w", "m"), Agg("sum_distinct", "w", "s")]))
+    return out.select("k", _narrow("lo").alias("lo"), _narrow("hi").alias("hi"), "n", "m", _narrow("s").alias("s"))
+
+
+@query("""
+SELECT k, CASE WHEN s < 0 THEN '-' ELSE '' END || (abs(s) // (100 * n))::VARCHAR || '.' || lpad(((abs(s) % (100 * n)) * 1000000000000000 // (100 * n))::VARCHAR, 15, '0') AS mean
+FROM (SELECT c_nationkey::BIGINT AS k, sum(((c_acctbal - 4000)::DECIMAL(18,2) * 100)::HUGEINT)::HUGEINT AS s, count(*)::HUGEINT AS n FROM customer GROUP BY 1)
+""")
+def wide_decimal_avg(spark, d):
+    """Averages cut after the 30th digit; the first 15 are shown."""
+    out = run(spark, _wide(spark, d, -4000), Stage(["k"], [Agg("avg", "w", "w")]))
+    sign = F.when((F.col("w.hi") < 0) | (F.col("w.lo") < 0), "-").otherwise("")
+    digits = F.substring(F.substring_index(F.abs("w.lo").cast("decimal(38,30)").cast("string"), ".", -1), 1, 15)
+    return out.select("k", F.concat(sign, F.abs("w.hi").cast("string"), F.lit("."), digits).alias("mean"))
 
 
 @query("SELECT id, try_cast(t AS TIMESTAMP) AS t, try_cast(n AS BIGINT) AS n FROM (VALUES (1, '0000-00-00 00:00:00', '5'), (2, '2020-01-02 03:04:05', 'x'), (3, '1999-12-31', '-7')) v(id, t, n)")
@@ -243,10 +274,21 @@ def zero_date_null(spark, d):
     return from_text(x, [("id", T.IntegerType()), ("t", Kind.TIMESTAMP), ("n", Kind.LONG)])
 
 
-@query(None)
+_BUCKET = "(('0x' || substr(md5(o_custkey::VARCHAR), 1, 8))::BIGINT % 256)::INT"
+
+
+@query(f"SELECT {_BUCKET} AS bucket, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 def bucket_256(spark, d):
-    """Rows by hash bucket of the key; the hash is Spark's, so no other engine gives these numbers."""
-    return table(spark, d, "orders").groupBy(F.pmod(F.hash("o_custkey"), F.lit(256)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows by hash bucket of the key."""
+    return table(spark, d, "orders").groupBy(routing.bucket(F.col("o_custkey"), portable=True).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT CASE WHEN b BETWEEN 64 AND 127 THEN 'b' WHEN b BETWEEN 128 AND 200 THEN 'c' ELSE 'a' END AS route, count(*)::BIGINT AS n, count(DISTINCT o_custkey)::BIGINT AS keys, sum(b)::BIGINT AS buckets FROM (SELECT *, {_BUCKET} AS b FROM orders) GROUP BY 1")
+def bucket_routes(spark, d):
+    """Buckets to routes by ranges; those of no range (201 to 255) go to the first route."""
+    routes = [routing.Route("a", 0, 63), routing.Route("b", 64, 127), routing.Route("c", 128, 200)]
+    x = routing.routed(table(spark, d, "orders"), ["o_custkey"], routes, portable=True)
+    return run(spark, x.select("route", "o_custkey", "bucket"), Stage(["route"], [Agg("count", None, "n"), Agg("count_distinct", "o_custkey", "keys"), Agg("sum", "bucket", "buckets")]))
 
 
 @query("SELECT l_returnflag, count(1)::BIGINT AS n FROM lineitem GROUP BY l_returnflag")
@@ -304,8 +346,7 @@ def stream_windows(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     schema = T.StructType([T.StructField("ts", T.TimestampType()) if f.name == "ts" else f for f in schema])
     out = streams.windowed(streams.stream(spark, f"{d}/events.parquet*", schema), "ts", "1 hour", "10 minutes", ["event_type"], {"n": ("count", None), "m": ("count", "value")})
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyforge-")).rstrip("/")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     got = streams.drained(out, f"{base}/out", f"{base}/state")
     return got.select(F.col("window_start").cast("timestamp_ntz"), F.col("window_end").cast("timestamp_ntz"), "event_type", "n", "m")
 

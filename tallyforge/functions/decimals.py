@@ -6,10 +6,14 @@ their values do, field by field.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HI, LO = "decimal(35,0)", "decimal(30,30)"
+#: The greatest value, as text; the least is its negative.
+GREATEST = "9" * 35 + "." + "9" * 30
 
 
 def parse(text: Column) -> Column:
@@ -28,9 +32,33 @@ def pair(hi: Column, lo: Column) -> Column:
     return F.struct(hi.cast(HI).alias("hi"), lo.cast(LO).alias("lo"))
 
 
+def constant(text: str) -> Column:
+    return parse(F.lit(text))
+
+
+def zero() -> Column:
+    return constant("0")
+
+
+def greatest() -> Column:
+    return constant(GREATEST)
+
+
+def least() -> Column:
+    return constant("-" + GREATEST)
+
+
+def of_long(x: Column) -> Column:
+    return F.when(x.isNotNull(), pair(x.cast("decimal(19,0)"), F.lit(0)))
+
+
 def of_double(x: Column) -> Column:
-    """A number below 1e20 as a pair, with 10 digits after the point."""
-    return of_decimal(x.cast("decimal(30,10)"))
+    """A double as a pair, by its shortest decimal digits, cut after the 30th after the point; null past 35 digits before it, infinite or no number."""
+    size = F.abs(x)
+    small = of_decimal(F.when(size < 1e7, x).cast("decimal(38,30)"))
+    middle = of_decimal(F.when((size >= 1e7) & (size < 1e18), x).cast("decimal(38,20)"))
+    large = F.when((size >= 1e18) & (size < 1e35), pair(F.when((size >= 1e18) & (size < 1e35), x).cast("decimal(38,0)"), F.lit(0)))
+    return F.coalesce(small, middle, large)
 
 
 def of_decimal(x: Column) -> Column:
@@ -51,6 +79,48 @@ def total(w: Column) -> Column:
     return F.when(F.count(w["hi"]) > 0, pair(hi2, lo2))
 
 
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1; null if either is."""
+    return F.when(a < b, F.lit(-1)).when(a == b, F.lit(0)).when(a > b, F.lit(1))
+
+
+def absolute(w: Column) -> Column:
+    return F.when(w.isNotNull(), pair(F.abs(w["hi"]), F.abs(w["lo"])))
+
+
+def compare_absolute(a: Column, b: Column) -> Column:
+    return compare(absolute(a), absolute(b))
+
+
+def _whole(x: Column, n: Column) -> Column:
+    """x div n of whole decimals, for quotients of up to 32 digits (the SQL operator div gives longs)."""
+    return ((x - x % n).cast("decimal(38,0)") / n).cast("decimal(38,0)")
+
+
+def divided(w: Column, n: Column) -> Column:
+    """A pair by a positive long, cut toward zero after the 30th digit: long division by chunks of digits that leave 38 digits enough."""
+    n = n.cast("decimal(19,0)")
+    ten = lambda k: F.lit(Decimal(10) ** k).cast(f"decimal({k + 1},0)")
+    hi, lo = F.abs(w["hi"]).cast("decimal(38,0)"), (F.abs(w["lo"]).cast("decimal(30,30)"))
+    digits = lambda k: F.substring(F.substring_index(F.abs(lo).cast("decimal(38,30)").cast("string"), ".", -1), 15 * k + 1, 15).cast("decimal(15,0)")
+    chunks = [(_whole(hi, ten(17)), 18), ((hi % ten(17)).cast("decimal(17,0)"), 17), (digits(0), 15), (digits(1), 15)]
+    rest, parts = F.lit(0).cast("decimal(19,0)"), []
+    for c, k in chunks:
+        x = (rest.cast("decimal(19,0)") * ten(k) + c).cast("decimal(38,0)")
+        parts.append(_whole(x, n))
+        rest = x % n
+    whole = (parts[0].cast("decimal(18,0)") * ten(17) + parts[1].cast("decimal(18,0)")).cast(HI)
+    text = F.concat(F.lit("0."), *[F.lpad(p.cast("string"), 15, "0") for p in parts[2:]])
+    part = text.cast("decimal(38,30)").cast(LO)
+    below = (w["hi"] < 0) | (w["lo"] < 0)
+    return F.when(w.isNotNull() & (n > 0), F.when(below, pair(-whole, -part)).otherwise(pair(whole, part)))
+
+
+def average(w: Column) -> Column:
+    """The mean of pairs, an aggregate, cut after the 30th digit."""
+    return divided(total(w), F.count(w["hi"]))
+
+
 def render(w: Column) -> Column:
     """A pair as text: no trailing zeros, but one digit after the point at least."""
     digits = F.rpad(F.substring_index(F.abs(w["lo"]).cast("decimal(38,30)").cast("string"), ".", -1), 30, "0")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..types import Kind, kind_of
-from . import times
+from . import decimals, times
 
 
 def double(x: Column) -> Column:
@@ -36,6 +36,8 @@ def rendered(df: DataFrame) -> DataFrame:
             c = double(c)
         elif kind == Kind.DECIMAL:
             c = decimal(c)
+        elif kind == Kind.WIDE:
+            c = decimals.render(c)
         elif kind == Kind.TIMESTAMP and f.dataType.typeName() != "time":
             c = times.render(c.cast("timestamp_ntz"))
         elif kind != Kind.VARBINARY:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import EngineError, ErrorCode
+
 
 def packed(ts: Column, millis: bool = True) -> Column:
     """A timestamp as the number YYYYMMDDhhmmssmmm; milliseconds 0 unless millis."""
@@ -25,7 +27,19 @@ def parse(text: Column) -> Column:
     return F.when(~text.startswith("0000") & F.length(text).isin(10, 19, 23), text.try_cast("timestamp_ntz"))
 
 
-def render(ts: Column) -> Column:
-    """The date alone at midnight, else date and time to the second with .0."""
+MODES = {"date": "yyyy-MM-dd", "time": "HH:mm:ss", "seconds": "yyyy-MM-dd HH:mm:ss", "millis": "yyyy-MM-dd HH:mm:ss.SSS"}
+
+
+def render(ts: Column, mode: str | None = None) -> Column:
+    """By mode: date, time, date and time to the second, or with milliseconds. Without: the date alone at midnight, else date and time to the second with .0."""
+    if mode is not None:
+        if mode not in MODES:
+            raise EngineError(ErrorCode.RANGE, f"mode {mode}")
+        return F.date_format(ts, MODES[mode])
     midnight = F.date_format(ts, "HHmmss") == "000000"
     return F.when(midnight, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(".0")))
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1; null if either is."""
+    return F.when(a < b, F.lit(-1)).when(a == b, F.lit(0)).when(a > b, F.lit(1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EngineError, ErrorCode
+from ..functions import decimals
 from ..types import Kind, check_aggregate, kind_of
 
 INF = float("inf")
@@ -43,7 +44,7 @@ def aggregate(func: str, c: Column | None, t: T.DataType | None, scale: int | No
 
     Nulls are skipped. Sums of longs and decimals raise on overflow (the session is in ANSI mode), those of doubles
     where they become infinite; a sum of texts is null. Averages are decimals, rounded half up four digits past the
-    input's, or to scale digits, or cut there.
+    input's, or to scale digits, or cut there; those of wide decimals are wide and cut after the 30th digit.
     """
     if c is None:
         if func != "count":
@@ -58,6 +59,10 @@ def aggregate(func: str, c: Column | None, t: T.DataType | None, scale: int | No
     if func in ("min", "max"):
         return getattr(F, func)(c)
     distinct = func.endswith("_distinct")
+    if kind == Kind.WIDE:
+        if distinct:
+            raise EngineError(ErrorCode.UNSUPPORTED, f"{func} of wide decimals beside other aggregates")
+        return decimals.total(c) if func == "sum" else decimals.average(c)
     if func.startswith("sum"):
         if kind == Kind.VARCHAR:
             return F.max(F.lit(None).cast("string"))

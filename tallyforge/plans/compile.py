@@ -11,7 +11,7 @@ from ..errors import EngineError, ErrorCode
 from ..operators.aggregate import aggregate
 from ..operators.distinct import distinct
 from ..sources.scan import scan
-from ..types import check_schema, kind_of, spark_type
+from ..types import Kind, check_schema, kind_of, spark_type
 from .spec import Agg, Plan, Stage
 
 
@@ -33,11 +33,24 @@ def _expression(df: DataFrame, a: Agg):
     return aggregate(a.func, F.col(f"`{name}`"), df.schema[name].dataType, a.scale, a.truncate)
 
 
+def _apart(df: DataFrame, a: Agg) -> bool:
+    """Distinct sums and averages of wide decimals: a pair has no distinct aggregate of its own."""
+    return a.col is not None and a.func in ("sum_distinct", "avg_distinct") and kind_of(df.schema[_name(df, a.col)].dataType) == Kind.WIDE
+
+
+def _beside(out: DataFrame, df: DataFrame, key: list[str], a: Agg, name: str) -> DataFrame:
+    """out (k0, k1, ...) with a distinct aggregate of a wide decimal: that of the distinct values, joined by the key."""
+    values = df.select(*[F.col(f"`{k}`").alias(f"j{i}") for i, k in enumerate(key)], F.col(f"`{_name(df, a.col)}`").alias("v")).distinct()
+    one = values.groupBy(*[f"j{i}" for i in range(len(key))]).agg(aggregate(a.func.removesuffix("_distinct"), F.col("v"), values.schema["v"].dataType).alias(name))
+    same = reduce(lambda x, y: x & y, [F.col(f"k{i}").eqNullSafe(F.col(f"j{i}")) for i in range(len(key))], F.lit(True))
+    return out.join(one, same, "left").drop(*[f"j{i}" for i in range(len(key))])
+
+
 def _grouped(df: DataFrame, stage: Stage) -> DataFrame:
     key = [_name(df, k) for k in stage.key]
     for k in key:
         kind_of(df.schema[k].dataType)
-    written = {a.out: _expression(df, a) for a in stage.aggs}  # of several for one column the last counts
+    written = {a.out: a if _apart(df, a) else _expression(df, a) for a in stage.aggs}  # of several for one column the last counts
     if stage.output is None:
         shape = [(k, None, k) for k in key] + [(a, a, None) for a in written]
     elif stage.output == "input":
@@ -52,7 +65,7 @@ def _grouped(df: DataFrame, stage: Stage) -> DataFrame:
         same = len(names) == len(df.columns)
         shape = [(n, n if n in written else None, f.name if same and kind_of(f.dataType) == kind_of(spark_type(t)) else None) for (n, t), f in zip(stage.output, df.schema if same else [None] * len(names))] if same else [(n, n if n in written else None, None) for n in names]
     carried = list(dict.fromkeys(c for _, a, c in shape if a is None and c is not None and c not in key))
-    aggs = [x.alias(f"a{i}") for i, x in enumerate(written.values())]
+    aggs = [x.alias(f"a{i}") for i, x in enumerate(written.values()) if not isinstance(x, Agg)]
     if carried:
         row = F.struct(*[F.col(f"`{c}`").alias(c) for c in carried])
         aggs.append((F.max_by(row, F.col(f"`{_name(df, stage.order)}`")) if stage.order else F.any_value(row)).alias("row"))
@@ -64,6 +77,9 @@ def _grouped(df: DataFrame, stage: Stage) -> DataFrame:
     out = df.groupBy(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(key)]).agg(*aggs)
     if counted:
         out = out.filter("n > 0")
+    for i, x in enumerate(written.values()):
+        if isinstance(x, Agg):
+            out = _beside(out, df, key, x, f"a{i}")
     number = {a: i for i, a in enumerate(written)}
     types = dict(stage.output) if isinstance(stage.output, list) else {}
     columns = []

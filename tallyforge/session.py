@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Overflow must raise, and times must not depend on the place.
@@ -25,3 +30,37 @@ def require(spark: SparkSession) -> SparkSession:
         if spark.conf.get(k) != v:
             spark.conf.set(k, v)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir. Where it is unset, a local session gets one of its own, once; a cluster's is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("tallyforge.shared.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+        spark.conf.set("tallyforge.shared.dir", at)
+    return at.rstrip("/")
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def _tidy() -> None:
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may have ended
+            pass
+
+
+atexit.register(_tidy)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EngineError, ErrorCode, engine_error
+from ..functions import decimals
 from ..types import Kind, check_schema, fitted, kind_of, spark_type, widened
 
 if TYPE_CHECKING:
@@ -50,6 +51,8 @@ def ingested(text: Column, kind: Kind | T.DataType, strict: bool = False) -> Col
         return F.when(~zero, x)
     if k == Kind.VARBINARY:
         return F.encode(text, "utf-8")
+    if k == Kind.WIDE:
+        return decimals.parse(text)
     return text.cast(t) if strict else text.try_cast(t)
 
 

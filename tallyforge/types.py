@@ -15,11 +15,15 @@ class Kind(Enum):
     LONG = "long"
     DOUBLE = "double"
     DECIMAL = "decimal"
+    WIDE = "wide decimal"
     TIMESTAMP = "timestamp"
     VARCHAR = "varchar"
     VARBINARY = "varbinary"
 
 
+#: A decimal of 35 digits before and 30 after the point (functions/decimals.py).
+WIDE_TYPE = T.StructType([T.StructField("hi", T.DecimalType(35, 0)), T.StructField("lo", T.DecimalType(30, 30))])
+
 _KINDS = (
     ((T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType), Kind.LONG),
     ((T.FloatType, T.DoubleType), Kind.DOUBLE),
@@ -34,13 +38,24 @@ DEFAULT = {
     Kind.LONG: T.LongType(),
     Kind.DOUBLE: T.DoubleType(),
     Kind.DECIMAL: T.DecimalType(38, 10),
+    Kind.WIDE: WIDE_TYPE,
     Kind.TIMESTAMP: T.TimestampNTZType(),
     Kind.VARCHAR: T.StringType(),
     Kind.VARBINARY: T.BinaryType(),
 }
 
 
+#: Bytes of a value, as Spark's unsafe rows hold it; texts and binary values have any length.
+LENGTH = {Kind.LONG: 8, Kind.DOUBLE: 8, Kind.DECIMAL: 16, Kind.WIDE: 32, Kind.TIMESTAMP: 8, Kind.VARCHAR: None, Kind.VARBINARY: None}
+
+
+def is_wide(t: T.DataType) -> bool:
+    return isinstance(t, T.StructType) and [(f.name, f.dataType) for f in t] == [(f.name, f.dataType) for f in WIDE_TYPE]
+
+
 def kind_of(t: T.DataType) -> Kind:
+    if is_wide(t):
+        return Kind.WIDE
     for types, kind in _KINDS:
         if isinstance(t, types):
             return kind
@@ -53,7 +68,7 @@ def spark_type(kind: Kind | T.DataType) -> T.DataType:
 
 _ALL = frozenset(Kind)
 _ORDERED = _ALL - {Kind.VARBINARY}
-_NUMERIC = frozenset({Kind.LONG, Kind.DOUBLE, Kind.DECIMAL})
+_NUMERIC = frozenset({Kind.LONG, Kind.DOUBLE, Kind.DECIMAL, Kind.WIDE})
 #: By aggregate, the kinds it takes.
 ACCEPTS = {
     "min": _ORDERED,

@@ -1,15 +1,17 @@
 """Aggregates by function and kind: no rows, one row, nulls, negatives, ties, overflow and refused kinds."""
 
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.errors import EngineError, ErrorCode
+from tallyforge.functions import decimals
 from tallyforge.job import Job
 from tallyforge.plans.compile import compile_plan
 from tallyforge.plans.spec import Agg, Plan, Scan, Stage
-from tallyforge.types import Kind
+from tallyforge.types import LENGTH, Kind, kind_of
 
 
 def rows(spark, data, schema, *stages, **more):
@@ -124,3 +126,36 @@ def test_declared_schemas(spark):
     assert out.columns == ["p", "q"] and isinstance(out.schema["p"].dataType, T.LongType)
     with pytest.raises(EngineError):
         compile_plan(Plan([Scan(frame=frame, schema=[("p", Kind.VARCHAR), ("q", Kind.VARCHAR)])]), spark)
+
+
+def test_wide_decimals_in_plans(spark):
+    values = [(1, "9" * 34 + ".5"), (1, "-0.000000000000000000000000000001"), (1, None), (1, "2"), (1, "2"), (2, None), (None, "7.25"), (1, "-" + "8" * 34)]
+    frame = spark.createDataFrame(values, "k long, v string").select("k", decimals.parse(F.col("v")).alias("v"))
+    aggs = [Agg(f, "v", f) for f in ("min", "max", "sum", "avg", "count", "count_distinct", "sum_distinct", "avg_distinct")]
+    out = compile_plan(Plan([Scan(frame=frame)], [Stage(["k"], aggs)]), spark)
+    got = {r.k: r for r in out.select("k", *[decimals.render(F.col(a)).alias(a) if not a.startswith("count") else a for a in out.columns[1:]]).collect()}
+    with localcontext() as c:
+        c.prec = 90
+        one = [Decimal(v) for k, v in values if k == 1 and v]
+        cut = lambda x: x.quantize(Decimal(1).scaleb(-30), rounding="ROUND_DOWN")
+        want = {"min": min(one), "max": max(one), "sum": sum(one), "avg": cut(sum(one) / 5), "sum_distinct": sum(set(one)), "avg_distinct": cut(sum(set(one)) / 4)}
+        assert {a: Decimal(got[1][a]) for a in want} == want
+    assert (got[1]["count"], got[1]["count_distinct"]) == (5, 4)
+    assert [got[2][a.out] for a in aggs] == [None, None, None, None, 0, 0, None, None]
+    assert got[None]["sum"] == got[None]["avg"] == got[None]["sum_distinct"] == "7.25"
+    whole = compile_plan(Plan([Scan(frame=frame)], [Stage([], [Agg("sum_distinct", "v", "s"), Agg("count", None, "n")])]), spark)
+    assert whole.select(decimals.render(F.col("s")), "n").first()[1] == 8
+    assert compile_plan(Plan([Scan(frame=frame)], [Stage(["v"], [Agg("count", None, "n")])]), spark).count() == 6
+    shaped = compile_plan(Plan([Scan(frame=frame)], [Stage(["k"], [Agg("sum", "v", "v")], output="input")]), spark)
+    assert kind_of(shaped.schema["v"].dataType) == Kind.WIDE
+
+
+def test_wide_decimals_overflow(spark):
+    frame = spark.createDataFrame([("9" * 35,), ("1",)], "v string").select(decimals.parse(F.col("v")).alias("v"))
+    with pytest.raises(EngineError) as e:
+        Job(Plan([Scan(frame=frame)], [Stage([], [Agg("sum", "v", "s")])]), spark).rows()
+    assert e.value.code == ErrorCode.OVERFLOW
+
+
+def test_lengths():
+    assert set(LENGTH) == set(Kind) and LENGTH[Kind.LONG] == 8 and LENGTH[Kind.VARCHAR] is None

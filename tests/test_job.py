@@ -44,6 +44,37 @@ def test_kill(spark):
         list(job)
 
 
+def test_events(spark):
+    told = []
+    plan = Plan([Scan(frame=spark.range(25_000))])
+    job = Job(plan, spark, on_event=told.append)
+    assert sum(1 for _ in job) == 25_000
+    assert [e["event"] for e in told] == ["EXEC_START", "PUSH_START", "PUSH", "PUSH", "PUSH", "EXEC_END"]
+    assert [e["rows"] for e in told if e["event"] == "PUSH"] == [10_000, 20_000, 25_000] and told[-2]["bytes"] > 25_000 and told[-1]["state"] == "COMPLETE"
+    told.clear()
+    assert len(Job(plan, spark, on_event=told.append).rows()) == 25_000 and [e["event"] for e in told] == ["EXEC_START", "PUSH", "EXEC_END"]
+    told.clear()
+    with pytest.raises(EngineError):
+        Job(Plan([Scan(sql="select 1 / id as x from range(3)")]), spark, on_event=told.append).rows()
+    assert (told[-1]["event"], told[-1]["state"], told[-1]["code"]) == ("EXEC_END", "FAILED", int(ErrorCode.DIVISION))
+    told.clear()
+    for _ in (it := iter(Job(plan, spark, on_event=told.append))):
+        it.close()
+    assert told[-1]["state"] == "CLOSED"
+
+
+def test_progress(spark):
+    slow = spark.range(0, 4, 1, 4).selectExpr("java_method('java.lang.Thread', 'sleep', 3000L) as x", "id")
+    job = Job(slow, spark)
+    assert job.progress()["tasks"] == 0
+    seen = []
+    t = threading.Timer(1.5, lambda: seen.append(job.progress()))
+    t.start()
+    job.rows()
+    t.join()
+    assert seen[0]["tasks"] == 4 and seen[0]["running"] + seen[0]["done"] > 0
+
+
 def test_codes_have_messages():
     assert [c.value for c in ErrorCode] == list(range(11)) and all(c.message for c in ErrorCode)
     assert engine_error(ValueError("x")).code == ErrorCode.SYSTEM
