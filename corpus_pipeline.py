@@ -1,53 +1,5 @@
-"""A corpus pipeline of operators of tallyforge.llm. Each stage's result is written as Parquet and reread.
+"""The pipeline of tallyforge/llm/stages.py, where the driver looks for it."""
 
-Documents that the quality rules reject go; of near-duplicates (five-word Jaccard similarity of 0.8 or more) one stays; secrets are replaced in the texts; the
-sources are mixed to their target weights (a document may come twice or not at all); the rest is encoded.
-"""
+from tallyforge.llm.stages import ORACLE_SQL, STAGES, encoding, mixture, near_duplicates, quality_rules, run, secret_scan
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tallyforge.llm import mixing, neardup, pieces, quality, secrets
-from tallyforge.llm.common import save, table
-
-#: Sketches, trained trees and components aren't SQL; tests/llm/test_pipeline.py compares with a brute-force version.
-ORACLE_SQL = None
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.first_of_each(docs)
-
-
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redacted(docs)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
-
-
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row a document of the mix: doc_id, lang, source, number of ids, the ids themselves and their digests."""
-    out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.model_path())
-    return out.select("doc_id", "lang", "source", "n_tokens", "piece_ids", "ids_sha256", "decoded_sha256")
-
-
-STAGES = [
-    ("quality rules", quality_rules),
-    ("near-dedup by five-word shingles", near_duplicates),
-    ("secret scans", secret_scan),
-    ("mixing sources to target weights", mixture),
-    ("SentencePiece encoding and decoding", encoding),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = save(stage(spark, docs, sf_dir), f"stage{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "encoding", "mixture", "near_duplicates", "quality_rules", "run", "secret_scan"]

@@ -4,37 +4,37 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: A word: a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _made: list[tuple[SparkSession, str]] = []
 
 
+#: Rows and bytes of a batch for Python, at most; a single longer text is a batch of its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+#: Bytes that a task holds back of a table that it writes.
+ROW_GROUP = 32 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package. On a cluster it is shipped with --py-files."""
+    """Let Python workers of a local session import this package (on a cluster it is shipped with --py-files), and bound Arrow batches where the session doesn't."""
+    for k, most in BATCH.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, str(most))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
-        spark.conf.set("tallyforge.shared.dir", at) if not spark.conf.get("tallyforge.shared.dir", None) else None
-        at = spark.conf.get("tallyforge.shared.dir")
-    return at.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
@@ -45,7 +45,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back. A lost executor costs no more than a reread."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,6 @@ kept as they are; whole texts of any length are scanned; an empty table gives an
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,6 +39,9 @@ BEFORE, AFTER = 40, 24
 #: Characters that a candidate has at least.
 SHORTEST = 1
 
+#: Transitions from one kind of characters to another that the forest sees.
+CHANGES = (("a", "0"), ("0", "a"), ("a", "A"), ("A", "a"), ("A", "0"), ("0", "A"))
+
 #: Words and parts of words that identifiers, paths and prose are made of.
 DICTIONARY = (
     "the and ing ion tion ent ers est ter con com pro pre per str test data name file path list item user page image photo index main class type text "
@@ -57,6 +59,7 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(candidate, r"[^A-Za-z0-9]+", "-"), "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
     words = "(?i)" + "|".join(sorted(DICTIONARY, key=len, reverse=True))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    change = lambda a, b: (F.size(F.split(runs, f"(?<={a})(?={b})")) - 1) / n  # noqa: E731  of kinds of characters, a lower, A upper, 0 digit
     secret = r"(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private|signature)"
     digest = r"(commit|sha-?\d*|md5|checksum|digest|revision|integrity|etag|uuid|guid|hash|order|invoice|card|account|isbn|phone)"
     return [
@@ -65,6 +68,7 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         1 - share("[A-Z]+"),
         1 - share(r"[^A-Za-z0-9]+"),
         F.length(runs) / n,
+        *[change(a, b) for a, b in CHANGES],
         1 - share(words),
         F.size(F.array_distinct(F.split(candidate, ""))) / n,
         flag(candidate.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
@@ -140,23 +144,33 @@ def labelled(spark: SparkSession, n: int = FINDINGS, seed: int = 1) -> DataFrame
     return rows.select(*[cases(k).alias(c) for k, c in enumerate(("before", "candidate", "after", "path", "label"))])
 
 
-def _expression(lines: list[str], at: list[int]) -> Callable[[list[Column]], Column]:
-    """A tree's printed form, from line at[0] on, as a function of features."""
+def _tree(lines: list[str], at: list[int]) -> tuple | float:
+    """A tree's printed form, from line at[0] on: (feature, limit, where it is at most that, else), or a leaf's label."""
     line = lines[at[0]].strip()
     at[0] += 1
     if line.startswith("Predict:"):
-        leaf = float(line.split(":")[1])
-        return lambda f: F.lit(leaf)
+        return float(line.split(":")[1])
     m = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line)
-    k, limit = int(m[1]), float(m[2])
-    low = _expression(lines, at)
+    low = _tree(lines, at)
     at[0] += 1  # its Else
-    high = _expression(lines, at)
-    return lambda f: F.when(f[k] <= limit, low(f)).otherwise(high(f))
+    return int(m[1]), float(m[2]), low, _tree(lines, at)
+
+
+class Forest:
+    """Trees of labelled findings; called with the features' columns it gives the share of trees that vote for a secret."""
+
+    def __init__(self, trees: list[tuple | float]):
+        self.trees = trees
+
+    def __call__(self, f: list[Column]) -> Column:
+        def vote(t: tuple | float) -> Column:
+            return F.lit(t) if isinstance(t, float) else F.when(f[t[0]] <= t[1], vote(t[2])).otherwise(vote(t[3]))
+
+        return sum((vote(t) for t in self.trees[1:]), vote(self.trees[0])) / len(self.trees)
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5) -> Callable[[list[Column]], Column]:
-    """A forest of labelled findings, as a function of features: the share of trees that vote for a secret."""
+def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5) -> Forest:
+    """A forest of labelled findings (before, candidate, after, path, label)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -165,9 +179,7 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     rows = save(findings.select(F.col("label").cast("double").alias("label"), *[x.alias(c) for x, c in zip(f, names)]), "findings").coalesce(1)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features").fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
     lines = [x for x in model.toDebugString.splitlines() if x.strip()]
-    starts = [k + 1 for k, x in enumerate(lines) if x.strip().startswith("Tree ")]
-    votes = [_expression(lines, [k]) for k in starts]
-    return lambda f: sum((v(f) for v in votes[1:]), votes[0](f)) / len(votes)
+    return Forest([_tree(lines, [k + 1]) for k, x in enumerate(lines) if x.strip().startswith("Tree ")])
 
 
 def _neighbours(x: Column, k: Column) -> Column:

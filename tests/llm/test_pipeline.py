@@ -1,12 +1,16 @@
-"""The pipeline: each stage's decisions take effect; what a plain version of the last two stages gives."""
+"""The pipeline: each stage against a plain version of it, without a tolerance."""
 
 import hashlib
+from collections import Counter
 
+import duckdb
 import sentencepiece
 
 import corpus_pipeline
+from tallyforge.llm import mixing, quality, secrets
 from tallyforge.llm.common import save
 from tallyforge.llm.pieces import model_path
+from tests.llm import test_neardup, test_secrets
 
 
 def staged(spark, docs, sf):
@@ -32,24 +36,39 @@ def test_stages(spark, sf):
     assert sorted((r.doc_id, r.ids_sha256) for r in again.collect()) == want
 
 
-def test_near_copies_go(spark, sf):
-    """Copies with one word in sixty changed (similarity 0.8 and more) go, unrelated texts stay."""
-    import random
-
-    r = random.Random(4)
-    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6)))
-    rows, copies = [], 0
-    for k in range(60):
-        w = [word() for _ in range(r.randint(120, 400))]
-        rows.append((10 * k, " ".join(w)))
-        for j in range(1, 3):
-            v = list(w)
-            for at in r.sample(range(len(v)), len(v) // 60):
-                v[at] = word()
-            rows.append((10 * k + j, " ".join(v)))
-            copies += 1
-    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()}
-    assert {10 * k for k in range(60)} <= kept and len(kept) - 60 <= 0.1 * copies
+def rows_of(df, sql):
+    """SQL's rows over a stage's input."""
+    c = duckdb.connect()
+    c.register("documents", df.toArrow())
+    return c.execute(sql).fetchall()
+
+
+def test_each_stage_against_a_plain_version(spark, sf):
+    """Quality and mixing against their SQL, near-duplicates against all pairs, secrets against every candidate's votes in plain Python."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    edited = [(100_000 + k, t, "en", "web", 0) for k, (_, t) in enumerate(zip(range(60), (t for _, t in test_neardup.edited())))]
+    planted = [(200_000 + k, " ".join([t] * 3) + f" {k} " + " ".join(f"word{j}" for j in range(40)), "de", "tests/data.py" if k % 3 else None, 0) for k, (t, _, _) in enumerate(test_secrets.planted(9, 64))]
+    docs = save(docs.unionByName(spark.createDataFrame(edited + planted, docs.schema)), "test")
+    raw, good, one, clean, mixed, _ = staged(spark, docs, sf)
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    assert ids(good) == sorted(r[0] for r in rows_of(raw, f"SELECT doc_id FROM ({quality.SQL}) WHERE kept"))
+    pairs = sorted((r.doc_id, r.text) for r in good.select("doc_id", "text").collect())
+    assert ids(one) == sorted(test_neardup.brute(pairs)) and len(ids(one)) < len(pairs)
+    forest = secrets.train(secrets.labelled(spark))
+    got = {r.doc_id: r.text for r in clean.collect()}
+    changed = 0
+    for r in one.collect():
+        text, at = "", 0
+        for begin, n, votes in test_secrets.brute(forest, r.text, r.source):
+            text += r.text[at:begin] + (secrets.REPLACEMENT if votes >= 0.5 else r.text[begin : begin + n])
+            at = begin + n
+        text += r.text[at:]
+        assert got[r.doc_id] == text
+        changed += text != r.text
+    assert changed > 10
+    copies = Counter(ids(mixed))
+    size = {r.doc_id: len(r.text.encode().split()) for r in clean.collect()}
+    assert {i: n * size[i] for i, n in copies.items()} == {i: taken for i, taken in rows_of(clean, f"SELECT doc_id, taken FROM ({mixing.SQL})") if taken}
 
 
 def test_odd_documents(spark, odd_docs, no_docs, sf):
