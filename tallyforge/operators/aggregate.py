@@ -39,6 +39,15 @@ def truncated(total: Column, count: Column, scale: int) -> Column:
     return (whole / n).cast(f"decimal(38,{scale})")
 
 
+def by_hash(a: Column) -> Column:
+    """The aggregate a, grouped by hash though its values have no fixed size (text, rows), for which Spark would sort all input.
+
+    The list of no values beside it has a buffer of objects, so Spark keeps the groups in a map of objects and only
+    sorts from HASHED groups a task on (session.py).
+    """
+    return F.when(F.size(F.collect_list(F.lit(None).cast("int"))) == 0, a)
+
+
 def aggregate(func: str, c: Column | None, t: T.DataType | None, scale: int | None = None, truncate: bool = False) -> Column:
     """The expression of an aggregate of a column of type t.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .aggregate import by_hash
+
 
 def distinct(df: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
     """Without key, distinct rows. With key, one row a key: that of the least order (null last), or any.
@@ -13,8 +15,10 @@ def distinct(df: DataFrame, key: list[str], order: str | None = None) -> DataFra
     """
     if not key:
         return df.distinct()
-    if order is None:
-        return df.dropDuplicates(key)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    best = df.groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.min(F.struct(F.col(f"`{order}`").isNull().alias("none"), F.col(f"`{order}`").alias("by"), row.alias("row"))).alias("best"))
-    return best.select(*[F.col("best.row")[c].alias(c) for c in df.columns])
+    if order is None:
+        best = F.struct(F.any_value(row).alias("row"))
+    else:
+        best = F.min(F.struct(F.col(f"`{order}`").isNull().alias("none"), F.col(f"`{order}`").alias("by"), row.alias("row")))
+    out = df.groupBy(*[F.col(f"`{k}`") for k in key]).agg(by_hash(best).alias("best"))
+    return out.select(*[F.col("best.row")[c].alias(c) for c in df.columns])

@@ -9,8 +9,10 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-#: Overflow must raise, and times must not depend on the place.
-REQUIRED = {"spark.sql.ansi.enabled": "true", "spark.sql.session.timeZone": "UTC"}
+#: Groups that a task keeps in a map of objects before it sorts.
+HASHED = 16_384
+#: Overflow must raise, times must not depend on the place, and groups of texts and rows are hashed.
+REQUIRED = {"spark.sql.ansi.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HASHED)}
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

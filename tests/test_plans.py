@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge import catalogue
+from tallyforge.plans.compile import compile_plan
+from tallyforge.plans.spec import Agg, Plan, Scan, Stage
 from tallyforge.streaming import events as streams
 
 
@@ -20,6 +22,23 @@ def test_exchanges(spark, sf, name, exchanges):
     assert text.count("Exchange hashpartitioning") == exchanges and "Python" not in text and "Cartesian" not in text
 
 
+@pytest.mark.parametrize("name", ["agg_minmax_types", "agg_representative", "distinct_on_key", "shape_merge", "wide_decimal_aggregates"])
+def test_no_sort_for_groups(spark, sf, name):
+    text = plan(catalogue.QUERIES[name](spark, sf))
+    assert "Sort" not in text.replace("SortMergeJoin", "") and "HashAggregate" in text, text
+
+
+def test_more_groups_than_the_map_holds(spark):
+    before = spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")
+    frame = spark.range(20_000).selectExpr("id % 5000 as k", "cast(id as string) as t")
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100")
+    try:
+        out = compile_plan(Plan([Scan(frame=frame)], [Stage(["k"], [Agg("min", "t", "lo"), Agg("count", None, "n")])]), spark).collect()
+    finally:
+        spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", before)
+    assert len(out) == 5000 and all(r.n == 4 and r.lo == min(str(r.k + 5000 * j) for j in range(4)) for r in out)
+
+
 def test_columns_are_pruned(spark, sf):
     text = plan(catalogue.QUERIES["agg_sum_long"](spark, sf))
     assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint>" in text
