@@ -5,7 +5,8 @@ most r of r + k blocks of bits, so they agree in k of the blocks: each fingerpri
 k blocks (2 up to radius 2, else 3), and a shard's fingerprints are linked by a BK-tree (children keyed by their distance from the parent;
 a search follows only edges within the radius of its own distance). A shard's tree is sent to the task that holds
 its queries. Trees aren't broadcast: together they grow with the corpus. A shard above `SHARD` fingerprints is
-split again by two of the blocks of the bits that are left, so that no task gets more than 2 ** 16 fingerprints.
+split again by two of the blocks of the bits that are left, so that at a radius of 2 no task gets more than 2 ** 16
+fingerprints. (At larger radii more bits stay free, up to 30 at a radius of 5, and a shard may be larger.)
 
 A shard yields a spanning forest of its links, not all pairs; components follow from the forests by star steps.
 
@@ -32,20 +33,11 @@ SHARD = 2048
 CHUNK = 1 << 16
 
 
-def _features(text: str | None, width: int, distinct: bool) -> tuple[list[bytes], int]:
-    """The words whose windows of `width` are hashed, and that width. distinct: the set of words, width 1."""
-    w = (text or "").encode().lower().split()  # of bytes: A-Z and white space of ASCII only
-    return (list(set(w)), 1) if distinct else (w, width)
-
-
-def _simhash(text: str | None, width: int, seed: int, distinct: bool = False) -> int:
+def _fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """The fingerprint as a signed 64-bit number. A bit is set if it is in over half the shingles' hashes."""
-    return _fingerprint(*_features(text, width, distinct), seed)
-
-
-def _fingerprint(w: list[bytes], width: int, seed: int) -> int:
     from xxhash import xxh64_intdigest
 
+    w = (text or "").encode().lower().split()  # of bytes: A-Z and white space of ASCII only
     if not w:
         return 0
     n = max(1, len(w) - width + 1)
@@ -63,21 +55,16 @@ def _fingerprint(w: list[bytes], width: int, seed: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """(doc_id, text) to (doc_id, fp, fp1, ...), one fingerprint a seed; only these go through Python."""
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, text) to (doc_id, fp); only these go through Python."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["fp", *[f"fp{k}" for k in range(1, len(seeds))]]
 
     def run(batches):
         for b in batches:
-            rows = []
-            for t in b.column(1):
-                w, n = _features(t.as_py(), width, distinct)
-                rows.append([_fingerprint(w, n, s) for s in seeds])
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(len(seeds))]], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_fingerprint(t.as_py(), width) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
 class BkTree:
@@ -210,21 +197,12 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return _linked(cool, radius, ["k", "bits"]).unionAll(_linked(again, radius, ["k", "bits", "j", "more"]))
 
 
-def classes(docs: DataFrame, radius: int = 2, width: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """(doc_id, text) to (doc_id, fp, component_id). With several seeds, documents are linked if any of their fingerprints are."""
-    rows = save(fingerprints(docs, width, seeds, distinct), "fingerprints")
-    more = [f"fp{k}" for k in range(1, len(seeds))]
-    nodes = save(rows.groupBy("fp", *more).agg(F.min("doc_id").alias("first")), "nodes")
-    edges = links(nodes.select("fp").distinct(), radius)
-    for f in more:  # in terms of the first fingerprint: of each of the others its least partner stands for it
-        of = save(nodes.groupBy(f).agg(F.min("fp").alias("of")).withColumnRenamed(f, "x"), "partners")
-        same = nodes.join(of, F.col(f) == F.col("x")).filter("fp != of").select(F.col("fp").alias("a"), F.col("of").alias("b"))
-        near = links(of.select(F.col("x").alias("fp")), radius)
-        a, b = of.select(F.col("x").alias("xa"), F.col("of").alias("oa")), of.select(F.col("x").alias("xb"), F.col("of").alias("ob"))
-        near = near.join(a, F.col("a") == F.col("xa")).join(b, F.col("b") == F.col("xb")).select(F.col("oa").alias("a"), F.col("ob").alias("b"))
-        edges = edges.unionAll(same).unionAll(near)
+def classes(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+    """(doc_id, text) to (doc_id, fp, component_id)."""
+    rows = save(fingerprints(docs, width), "fingerprints")
+    first = save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    edges = links(first.select("fp"), radius)
     found = components(edges)  # (node, root), of linked fingerprints only
-    first = nodes.groupBy("fp").agg(F.min("first").alias("first"))
     grouped = first.join(found, F.col("fp") == F.col("node"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "root_")
     moved = grouped.join(least, F.col("root") == F.col("root_")).select("fp", "component_id")
@@ -232,12 +210,12 @@ def classes(docs: DataFrame, radius: int = 2, width: int = 3, seeds: tuple[int,
     return rows.join(save(of, "classes"), F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, radius: int = 2, width: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
+def first_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """The rows of docs (doc_id, text and any others) less near-duplicates: of each component one row stays, that of
     the smallest id (null last), then the smallest hash of the text."""
     inner = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.coalesce(F.md5(F.col("text").cast("string")), F.lit("")).alias("hash"))
-    ids = classes(docs.select(key.alias("doc_id"), "text"), radius, width, seeds, distinct)
+    ids = classes(docs.select(key.alias("doc_id"), "text"), radius, width)
     keep = ids.filter("doc_id = component_id").select(F.col("doc_id.id").alias("id_"), F.col("doc_id.hash").alias("hash_")).distinct()
     rows = docs.select(inner, F.col("doc_id").alias("id"), key["hash"].alias("hash"))
     kept = rows.join(keep, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")), "left_semi")
