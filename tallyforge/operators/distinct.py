@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..types import UNSIZED, kind_of
 from .aggregate import by_hash
 
 
@@ -15,10 +16,14 @@ def distinct(df: DataFrame, key: list[str], order: str | None = None) -> DataFra
     """
     if not key:
         return df.distinct()
+    keys = [F.col(f"`{k}`") for k in key]
+    if order is not None and order not in key and set(df.columns) == {*key, order}:  # the row is its key and its order
+        least = F.min(F.col(f"`{order}`"))
+        return df.groupBy(*keys).agg((by_hash(least) if kind_of(df.schema[order].dataType) in UNSIZED else least).alias(order)).select(*[F.col(f"`{c}`") for c in df.columns])
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     if order is None:
         best = F.struct(F.any_value(row).alias("row"))
     else:
         best = F.min(F.struct(F.col(f"`{order}`").isNull().alias("none"), F.col(f"`{order}`").alias("by"), row.alias("row")))
-    out = df.groupBy(*[F.col(f"`{k}`") for k in key]).agg(by_hash(best).alias("best"))
+    out = df.groupBy(*keys).agg(by_hash(best).alias("best"))
     return out.select(*[F.col("best.row")[c].alias(c) for c in df.columns])

@@ -11,7 +11,7 @@ from ..errors import EngineError, ErrorCode
 from ..operators.aggregate import aggregate, by_hash
 from ..operators.distinct import distinct
 from ..sources.scan import scan
-from ..types import Kind, check_schema, kind_of, spark_type
+from ..types import UNSIZED, Kind, check_schema, kind_of, spark_type
 from .spec import Agg, Plan, Stage
 
 
@@ -66,7 +66,7 @@ def _grouped(df: DataFrame, stage: Stage) -> DataFrame:
         shape = [(n, n if n in written else None, f.name if same and kind_of(f.dataType) == kind_of(spark_type(t)) else None) for (n, t), f in zip(stage.output, df.schema if same else [None] * len(names))] if same else [(n, n if n in written else None, None) for n in names]
     carried = list(dict.fromkeys(c for _, a, c in shape if a is None and c is not None and c not in key))
     last = {a.out: a for a in stage.aggs}
-    sized = [o for o, a in last.items() if key and a.func in ("min", "max") and kind_of(df.schema[_name(df, a.col)].dataType) in (Kind.VARCHAR, Kind.WIDE)]
+    sized = [o for o, a in last.items() if key and a.func in ("min", "max") and kind_of(df.schema[_name(df, a.col)].dataType) in UNSIZED]
     aggs = [(by_hash(x) if [o] == sized[:1] else x).alias(f"a{i}") for i, (o, x) in enumerate(written.items()) if not isinstance(x, Agg)]
     if carried:
         row = F.struct(*[F.col(f"`{c}`").alias(c) for c in carried])

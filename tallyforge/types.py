@@ -47,6 +47,8 @@ DEFAULT = {
 
 #: Bytes of a value, as Spark's unsafe rows hold it; texts and binary values have any length.
 LENGTH = {Kind.LONG: 8, Kind.DOUBLE: 8, Kind.DECIMAL: 16, Kind.WIDE: 32, Kind.TIMESTAMP: 8, Kind.VARCHAR: None, Kind.VARBINARY: None}
+#: Kinds that Spark can't keep in a hash table of rows.
+UNSIZED = frozenset({Kind.VARCHAR, Kind.VARBINARY, Kind.WIDE})
 
 
 def is_wide(t: T.DataType) -> bool:
