@@ -47,7 +47,7 @@ def test_each_stage_against_a_plain_version(spark, sf):
     """Quality and mixing against their SQL, near-duplicates against all pairs, secrets against every candidate's votes in plain Python."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     edited = [(100_000 + k, t, "en", "web", 0) for k, (_, t) in enumerate(zip(range(60), (t for _, t in test_neardup.edited())))]
-    planted = [(200_000 + k, " ".join([t] * 3) + f" {k} " + " ".join(f"word{j}" for j in range(40)), "de", "tests/data.py" if k % 3 else None, 0) for k, (t, _, _) in enumerate(test_secrets.planted(9, 64))]
+    planted = [(200_000 + k, f"{t} " + " ".join(hashlib.md5(f"{k} {j}".encode()).hexdigest()[:5] for j in range(60)), "de", "tests/data.py" if k % 3 else None, 0) for k, (t, _, _) in enumerate(test_secrets.planted(9, 64))]
     docs = save(docs.unionByName(spark.createDataFrame(edited + planted, docs.schema)), "test")
     raw, good, one, clean, mixed, _ = staged(spark, docs, sf)
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
