@@ -3,7 +3,7 @@
 A text's merge encoding is the one sequence of pieces of which every adjacent pair stays as it is when the two
 are joined and merged again. So the encoder takes the longest piece that an Aho-Corasick automaton finds at a
 place, keeps it if it is compatible with the piece before, else tries the next shorter one, and steps back if
-none is left; places from which no way on was found are marked in a bitfield and not tried again.
+none is left; places from which no way on was found are marked in a field of bytes and not tried again.
 
 No piece of the model crosses a space that follows another character (checked when the model is loaded), and
 some characters (such as line feed) occur in no piece of several characters; texts are split there, and what a
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, table
+from .common import fresh, prepare, table
 
 SPACE = "▁"
 #: Parts of texts whose ids a worker remembers, twice over; about 300 bytes each.
@@ -36,8 +36,6 @@ REMEMBERED = 250_000
 PAIRS = 400_000
 #: Ids that a worker holds before it passes them on.
 AT_ONCE = 200_000
-#: Arrow's types of the added columns.
-T_ARROW = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "piece_ids": pa.list_(pa.int32()), "decoded": pa.string()}
 #: Longer parts are not remembered.
 LONGEST = 64
 
@@ -128,10 +126,14 @@ class Pieces:
             self.shorter[i] = next((self.number[n[:k]] for k in range(len(n) - 1, 0, -1) if n[:k] in self.number), -1)
         #: By any start of a piece, the longest piece that it starts with, itself included.
         self.best = {n[:j]: next(self.number[n[:k]] for k in range(j, 0, -1) if n[:k] in self.number) for n in self.automaton for j in range(1, len(n) + 1)}
-        self.kept: dict[int, bool] = {}
-        #: What parts give: number of ids, ids joined by commas, text. By part; for words, by the word after one space.
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        #: By a piece, whether those that were tried after it are compatible with it.
+        self.kept: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
+        #: What pieces are in a text, in UTF-8.
+        self.utf8 = [bytes([self.bytes_[i]]) if i in self.bytes_ else b"" if i in self.hidden else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names[: self.n])]
+        #: Words' ids, with a space before the word, joined by commas.
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.once: set[int] = set()
         self.end = self.part(self.cut) if self.cut else None
 
@@ -152,29 +154,32 @@ class Pieces:
     def split(self, text: str) -> list[int]:
         """The pieces of a text with spaces escaped, by backtracking; characters without a piece have numbers past the ids."""
         reach, best, shorter, size, kept, most, n = self.automaton.longest_prefix, self.best, self.shorter, self.size, self.kept, self.longest, len(text)
-        failed = 0  # bit p: there's no way on from place p
+        failed = bytearray(n + 1)  # 1 at p: there's no way on from place p
         out: list[int] = []
         pos, last = 0, -1
+        after: dict[int, bool] = {}  # what is known of pieces after the last
         while pos < n:
             k = reach(text[pos : pos + most])
             i = best[text[pos : pos + k]] if k else self.single(text[pos])
             while True:
                 end = pos + size[i]
-                if not failed >> end & 1:
+                if not failed[end]:
                     if last < 0:
                         break
-                    ok = kept.get(last << 24 | i)
+                    ok = after.get(i)
                     if ok or ok is None and self.compatible(last, i):
                         break
                 i = shorter[i]
                 while i < 0:  # none is left here
-                    failed |= 1 << pos
+                    failed[pos] = 1
                     i = out.pop()
                     pos -= size[i]
                     last = out[-1] if out else -1
+                    after = kept.get(last) or {}
                     i = shorter[i]
             out.append(i)
             last = i
+            after = kept.get(i) or {}
             pos = end
         return out
 
@@ -191,9 +196,12 @@ class Pieces:
     def compatible(self, a: int, b: int) -> bool:
         """Whether two pieces stay as they are when they are joined and merged again."""
         x, y = self.names[a], self.names[b]
-        if len(self.kept) >= PAIRS:
+        if self.pairs >= PAIRS:
             self.kept.clear()
-        self.kept[a << 24 | b] = ok = self.merged(x + y) == [x, y]
+            self.pairs = 0
+        self.pairs += 1
+        ok = self.merged(x + y) == [x, y]
+        self.kept.setdefault(a, {})[b] = ok
         return ok
 
     def ids(self, pieces: list[int]) -> list[int]:
@@ -221,12 +229,19 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         return self.raw(ids).removeprefix(" ")
 
-    def part(self, part: str) -> tuple[int, str, str]:
-        """Of a part, with spaces escaped: number of ids, ids joined by commas, text."""
-        ids = self.ids(pieces := self.split(part))
-        return len(ids), ",".join([self.written[i] for i in ids]), part.replace(SPACE, " ") if len(ids) == len(pieces) else self.raw(ids)
+    def text(self, ids: list[int]) -> str:
+        """The same as decode, faster where bytes are UTF-8."""
+        b = b"".join(map(self.utf8.__getitem__, ids))
+        try:
+            return b.decode().removeprefix(" ")
+        except UnicodeDecodeError:
+            return self.decode(ids)
 
-    def word(self, word: str) -> tuple[int, str, str]:
+    def part(self, part: str) -> str:
+        """Of a part, with spaces escaped, the ids joined by commas."""
+        return ",".join([self.written[i] for i in self.ids(self.split(part))])
+
+    def word(self, word: str) -> str:
         """The same of a word with a space before it, remembered from its second time on."""
         got = self.older.get(word)
         if got is None:
@@ -245,8 +260,8 @@ class Pieces:
         self.known[word] = got
         return got
 
-    def line(self, line: str, prefix: str) -> list[tuple[int, str, str]]:
-        """Of the parts of a line: each is a word with the spaces before it; spaces at the end are one as well."""
+    def line(self, line: str, prefix: str) -> list[str]:
+        """The ids of the parts of a line: each is a word with the spaces before it; spaces at the end are one as well."""
         words = line.split(" ")
         known = self.known.get
         if "" in words or not prefix:
@@ -261,32 +276,37 @@ class Pieces:
                 got.append(self.part(spaces))
             return got
         got = list(map(known, words))
-        if None in got:
-            got = [x or self.word(w) for x, w in zip(got, words)]
+        at = -1
+        for _ in range(got.count(None)):
+            at = got.index(None, at + 1)
+            got[at] = self.word(words[at])
         return got
 
-    def encoded(self, text: str) -> tuple[int, str, str]:
-        """Of a text: number of ids, ids joined by commas, the text decoded from them."""
+    def joined(self, text: str) -> str:
+        """A text's ids, joined by commas."""
         if not text:
-            return 0, "", ""
+            return ""
         text = text.replace(SPACE, " ")
         if self.cut is None or self.cut not in text:
-            got = self.line(text, SPACE)
-        else:
-            got = []
-            for k, line in enumerate(text.split(self.cut)):
-                if k:
-                    got.append(self.end)
-                if line:
-                    got += self.line(line, "" if k else SPACE)
-                elif not k:
-                    got.append(self.part(SPACE))
-        n, ids, back = zip(*got)
-        return sum(n), ",".join(ids), "".join(back).removeprefix(" ")
+            return ",".join(self.line(text, SPACE))
+        got = []
+        for k, line in enumerate(text.split(self.cut)):
+            if k:
+                got.append(self.end)
+            if line:
+                got += self.line(line, "" if k else SPACE)
+            elif not k:
+                got.append(self.part(SPACE))
+        return ",".join(got)
+
+    def encoded(self, text: str) -> tuple[np.ndarray, str, str]:
+        """Of a text: the ids, the ids joined by commas, the text decoded from the ids."""
+        s = self.joined(text)
+        ids = np.fromstring(s, np.int32, sep=",") if s else np.zeros(0, np.int32)
+        return ids, s, self.text(ids.tolist())
 
     def encode(self, text: str) -> list[int]:
-        ids = self.encoded(text)[1]
-        return list(map(int, ids.split(","))) if ids else []
+        return self.encoded(text)[0].tolist()
 
 
 @lru_cache(2)
@@ -301,50 +321,44 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: bool = True) -> DataFrame:
-    """docs with piece_ids (array, if ids), n_tokens, ids_sha256, decoded (if ids) and decoded_sha256. The model's path must be readable on the executors. Columns of these names are replaced."""
+def encode(docs: DataFrame, model: str, text: str = "text", ids: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """docs with piece_ids (array, if ids), n_tokens, ids_sha256, decoded (if ids) and decoded_sha256. The model's path must be readable on the executors. Columns of these names are replaced.
+
+    With keep, only these of docs' columns and of the added ones come back from Python, in this order.
+    """
     prepare(docs.sparkSession)
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["piece_ids", "decoded"] * ids
-    docs = docs.drop(*added)
-    kinds = [T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType()), T.StringType()]
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, k) for c, k in zip(added, kinds)]])
-    at = docs.columns.index(text)
+    docs = docs.drop(*(c for c in added if c != text))
+    names = keep or [*(c for c in docs.columns if c not in added), *added]
+    kinds = dict(zip(added, [T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType()), T.StringType()]))
+    own = [c for c in names if c not in kinds]
+    docs = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").cast("string").alias(fresh(docs, "text_")[0]))
+    schema = T.StructType([T.StructField(c, kinds[c]) if c in kinds else docs.schema[c] for c in names])
 
     def run(batches):
         m = load(model)
         for batch in batches:
-            columns: list[list] = [[] for _ in added]
+            rows: list[tuple] = []
             held = lo = 0
-            for k, t in enumerate(batch.column(at)):
+            for k, t in enumerate(batch.column(len(own))):
                 n, s, d = m.encoded(t.as_py() or "")
-                row = [n, hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest()]
-                if ids:
-                    row += [np.array(s.split(",") if s else [], np.int32), d]
-                for c, x in zip(columns, row):
-                    c.append(x)
-                held += n
+                rows.append((n, hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest(), d if "decoded" in names else None))
+                held += len(n)
                 if held >= AT_ONCE or k + 1 == len(batch):
-                    more = [pa.array(c, T_ARROW[name]) for c, name in zip(columns, added)]
-                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, k + 1 - lo).columns, *more], names=[*batch.schema.names, *added])
-                    columns, held, lo = [[] for _ in added], 0, k + 1
+                    arrays, one, two, texts = zip(*rows)
+                    sizes = np.array(list(map(len, arrays)))
+                    made = {"n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(one, pa.string()), "decoded_sha256": pa.array(two, pa.string()), "decoded": pa.array(texts, pa.string())}
+                    made["piece_ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(arrays), pa.int32()))
+                    made |= dict(zip(own, batch.slice(lo, k + 1 - lo).columns))
+                    yield pa.RecordBatch.from_arrays([made[c] for c in names], names=names)
+                    rows, held, lo = [], 0, k + 1
 
     return docs.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) to (doc_id, n_tokens, ids_sha256, decoded_sha256); the text isn't sent back from Python."""
-    prepare(docs.sparkSession)
-
-    def run(batches):
-        m = load(model)
-        for batch in batches:
-            rows = [m.encoded(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[1].encode()).hexdigest() for r in rows], pa.string()), pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, model, keep=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

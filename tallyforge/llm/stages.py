@@ -39,8 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row a document of the mix: doc_id, lang, source, number of ids, the ids themselves and their digests."""
-    out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.model_path())
-    return out.select("doc_id", "lang", "source", "n_tokens", "piece_ids", "ids_sha256", "decoded_sha256")
+    return pieces.encode(docs, pieces.model_path(), keep=["doc_id", "lang", "source", "n_tokens", "piece_ids", "ids_sha256", "decoded_sha256"])
 
 
 STAGES = [

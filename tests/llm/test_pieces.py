@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 import sentencepiece
@@ -29,6 +30,31 @@ def test_odd_texts(library, text):
     assert m.encode(text) == library.encode(text) and m.encoded(text)[2] == library.decode(library.encode(text))
 
 
+def test_a_long_word_takes_time_in_proportion():
+    """Marking places without a way on costs the same anywhere in a text."""
+    m, r = load(model_path()), random.Random(4)
+    word = "".join(r.choice("abcdefghij") for _ in range(4_000_000))
+    m.split(word[:100_000])
+
+    def seconds(n):
+        began = time.thread_time()
+        m.split(word[:n])
+        return time.thread_time() - began
+
+    assert seconds(4_000_000) < 13 * seconds(500_000)
+
+
+def test_columns_that_come_back(spark, odd_docs, library):
+    """The pipeline's columns alone leave Python; ids, their digest and the text decoded from them agree with the library."""
+    names = ["doc_id", "lang", "n_tokens", "piece_ids", "ids_sha256", "decoded_sha256"]
+    out = encode(odd_docs, model_path(), keep=names)
+    assert out.columns == names
+    rows = {(r.doc_id, r.n_tokens, tuple(r.piece_ids), r.ids_sha256, r.decoded_sha256) for r in out.collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {(i, len(x), tuple(x), digest(",".join(map(str, x))), digest(library.decode(x))) for i, x in ((r.doc_id, library.encode(r.text or "")) for r in odd_docs.collect())}
+    assert rows == want
+
+
 def test_bytes_that_are_no_text(library):
     ids = [3 + 0xE9, 3 + 0x41, 3 + 0xFF, 264]
     assert load(model_path()).decode(ids).count("�") >= 2
