@@ -1,6 +1,8 @@
 """Near-duplicates by one rule: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-Candidates come from MinHash: `BANDS` bands of `ROWS` minima each, so that a pair at 0.8 agrees in none of the bands
+Candidates come from SimHash and from MinHash. SimHash: fingerprints of the sets of shingles that are equal or differ in
+at most `RADIUS` bits, found by simhash.py's BK-trees. That is what closest pairs do; a pair at 0.8 differs in 9.7 bits on
+average, so the bound itself needs MinHash: `BANDS` bands of `ROWS` minima each, so that a pair at 0.8 agrees in none of the bands
 with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8, and closer pairs with less. A candidate is linked only if the exact
 similarity, of the words themselves, is at least 4 / 5; components are formed of these links alone.
 
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import prepare, save
 from .graph import components
 
@@ -36,6 +39,8 @@ WIDTH = 5
 #: The least similarity of a link, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 32, 4
+#: Bits in which fingerprints of candidates may differ; simhash.py bounds its shards up to 2.
+RADIUS = 2
 #: Shingles whose minima are taken at once, and the binary digits of the bitmap's size.
 CHUNK, BITMAP = 1024, 25
 #: Minima that likely pairs have in common, and nodes of a group that are searched at once.
@@ -48,6 +53,8 @@ REMEMBERED = 2_000_000
 _MIX = np.random.default_rng(20).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64)
 _XOR, _ODD = _MIX[0][:, None], (_MIX[1] * np.uint64(2) + np.uint64(1))[:, None]
 _P = np.uint64(0x9E3779B97F4A7C15)
+#: By a byte its bits, the lowest first.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -73,6 +80,13 @@ def _shingles(w: list[bytes]) -> np.ndarray:
     return np.unique(s)
 
 
+def _fingerprint(s: np.ndarray) -> int:
+    """The SimHash of shingles' hashes as a signed number: a bit is set if it is in over half of them."""
+    b = s.view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(b[:, k], minlength=256) @ _BITS for k in range(8)])
+    return int.from_bytes(np.packbits(2 * ones > len(s), bitorder="little").tobytes(), "little", signed=True)
+
+
 def _minima(s: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), CHUNK):
@@ -114,23 +128,24 @@ def similar(a: str | None, b: str | None) -> bool:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(key, text) to (key, words, size, bands, minima); words: the MD5 of the words, minima: their low bytes."""
+    """(key, text) to (key, words, size, fp, bands, minima); words: the MD5 of the words, minima: their low bytes."""
 
     def run(batches):
         for b in batches:
-            nodes, sizes, bands, minima = [], [], [], []
+            nodes, sizes, fps, bands, minima = [], [], [], [], []
             for t in b.column(1):
                 w = _words(t.as_py())
                 s = _shingles(w)
                 nodes.append(hashlib.md5(b" ".join(w)).digest())
                 sizes.append(len(s))
+                fps.append(_fingerprint(s))
                 least = _minima(s)
                 bands.append(_bands(least) if len(s) else [])
                 minima.append((least >> np.uint64(8)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(minima, pa.binary())], names=["key", "words", "size", "bands", "minima"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(minima, pa.binary())], names=["key", "words", "size", "fp", "bands", "minima"])
 
     prepare(docs.sparkSession)
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, words binary, size int, bands array<bigint>, minima binary")
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, words binary, size int, fp bigint, bands array<bigint>, minima binary")
 
 
 def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -182,6 +197,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return save(both.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
+def _fingerprinted(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes (a, b), a < b, that connect all whose fingerprints differ in at most RADIUS bits."""
+    x = nodes.filter("size > 0").select("node", "fp")
+    first = save(x.groupBy("fp").agg(F.min("node").alias("m")), "fingerprints")
+    equal = x.join(first.toDF("fp_", "m"), F.col("fp") == F.col("fp_")).filter("node != m").select(F.col("m").alias("a"), F.col("node").alias("b"))
+    near = save(simhash.links(first.select("fp"), RADIUS).distinct(), "near")
+    near = near.join(first.toDF("fa", "ma"), F.col("a") == F.col("fa")).join(first.toDF("fb", "mb"), F.col("b") == F.col("fb"))
+    return equal.unionAll(near.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")))
+
+
 def _agree(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs of nodes (a, b) that are likely to be similar by their sizes and minima."""
     x = nodes.select("node", "size", "minima")
@@ -251,12 +276,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs (id, hash, text) to rows (key, words), nodes (node, words, first, n) and components (node, root) of linked nodes."""
     key = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("hash").alias("hash"))
     rows = save(_signatures(docs.select(key.alias("key"), "text")), "signatures")
-    nodes = rows.groupBy("words").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("minima").alias("minima"))
+    nodes = rows.groupBy("words").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("minima").alias("minima"))
     nodes = save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers, as what follows has many rows a node
     w = W.partitionBy("band")
     groups = nodes.select("node", F.explode("bands").alias("band")).withColumn("m", F.min("node").over(w)).withColumn("k", F.count(F.lit(1)).over(w))
     groups = save(groups.filter("k > 1").select("band", "node", "m"), "groups")
-    star = save(_agree(groups.filter("node != m").select(F.col("m").alias("a"), F.col("node").alias("b")).distinct(), nodes), "pairs")
+    star = groups.filter("node != m").select(F.col("m").alias("a"), F.col("node").alias("b"))
+    star = save(_agree(_fingerprinted(nodes).unionAll(star).distinct(), nodes), "pairs")
     linked = _verified(star, nodes, docs)
     found = components(linked).toDF("node_", "root")
     open_ = groups.join(found, F.col("node") == F.col("node_"), "left").select("band", "node", F.coalesce("root", "node").alias("root"))

@@ -1,7 +1,7 @@
 """A corpus pipeline of this package's operators. Each stage's result is written as Parquet and reread.
 
-Documents that the quality rules reject go; of near-duplicates (five-word Jaccard similarity of 0.8 or more) one stays;
-secrets are replaced in the texts; the sources are mixed to their target weights (a document may come twice or not at
+Documents that the quality rules reject go; of near-duplicates (five-word Jaccard similarity of 0.8 or more, of candidates
+by SimHash and MinHash) one stays; secrets are replaced in the texts; the sources are mixed to their target weights (a document may come twice or not at
 all); the rest is encoded.
 
 Edge cases: a null or empty text has no words and fails the quality rules' base (fewer than 50 words), so it goes in the
@@ -44,7 +44,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-dedup by five-word shingles", near_duplicates),
+    ("SimHash near-dedup by five-word shingles", near_duplicates),
     ("secret scans", secret_scan),
     ("mixing sources to target weights", mixture),
     ("SentencePiece encoding and decoding", encoding),

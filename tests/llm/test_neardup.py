@@ -83,6 +83,36 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert sorted(x.doc_id for x in kept) == sorted(brute(rows)) == list(range(0, 150, 3))
 
 
+def test_fingerprints_alone(spark, monkeypatch):
+    """SimHash is a step of its own: without a band of MinHash, similar texts within its radius are linked, and no others."""
+    monkeypatch.setattr(neardup, "_bands", lambda least: [])
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6)))
+    texts = []
+    for _ in range(12):
+        w = [word() for _ in range(1500)]
+        for n in (0, 1, 1, 2, 5, 40, 120):
+            v = list(w)
+            v[700 : 700 + n] = [word() for _ in range(n)]
+            texts.append(" ".join(v))
+    texts += ["a b c", "a b d", "", None]
+    rows = list(enumerate(texts))
+
+    def fingerprint(text):
+        h = [int(x) for x in neardup._shingles(neardup._words(text))]
+        return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+    fps, sets, root = [fingerprint(t) for t in texts], [shingles(t) for t in texts], list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 2 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            low, high = sorted((root[i], root[j]))
+            root = [low if x == high else x for x in root]
+    want = set(root)
+    assert len(brute(rows)) < len(want) < len(rows) - 12
+    kept = neardup.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(x.doc_id for x in kept) == sorted(want)
+
+
 def test_sf(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = sorted(tuple(x) for x in docs.collect())
