@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import prepare, save, table
 
@@ -38,8 +39,8 @@ OWN, ENDINGS, HEAD = 1 << 14, 256, 1 << 17
 PIECE = 512
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 400_000
-#: Tokens that a task works on at once.
-AT_ONCE = 1_000_000
+#: Tokens that a task works on at once, and of these in a training step, which holds some 140 bytes a token.
+AT_ONCE, TRAINED = 1_000_000, 1 << 18
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -257,18 +258,23 @@ class Model:
         return out
 
 
+def _spans(sizes: np.ndarray, most: int):
+    """Neighbours that sum up to at most `most`, or one: from and to, and the sums of all before these."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, side="right")) - 1)
+        yield lo, hi, int(upto[lo]), int(upto[hi])
+        lo = hi
+
+
 def _lists(batches, columns: int):
     """Batches of at most AT_ONCE tokens or one row: other columns, flat classes, sizes."""
     for b in batches:
-        col = b.column(columns)
-        sizes = np.asarray(col.value_lengths())
-        upto = np.cumsum(sizes)
-        lo = 0
-        while lo < len(sizes):
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+        sizes = np.asarray(b.column(columns).value_lengths())
+        for lo, hi, _, _ in _spans(sizes, AT_ONCE):
             part = b.slice(lo, hi - lo)
             yield part, np.asarray(part.column(columns).flatten()).astype(np.int64), sizes[lo:hi].astype(np.int64)
-            lo = hi
 
 
 def _step(rows: DataFrame, model: Model, prior: np.ndarray) -> Model:
@@ -286,7 +292,9 @@ def _step(rows: DataFrame, model: Model, prior: np.ndarray) -> Model:
                 cut = [PIECE] * (n // PIECE) + [n % PIECE] * (n % PIECE > 0)
                 pieces += cut
                 begins += [True] + [False] * (len(cut) - 1)
-            m.expected(flat, np.array(pieces), into, np.array(begins))
+            pieces, begins = np.array(pieces), np.array(begins)
+            for lo, hi, at, end in _spans(pieces, TRAINED):
+                m.expected(flat[at:end], pieces[lo:hi], into, begins[lo:hi])
         used = np.flatnonzero(into[2].any(axis=1))
         classes = np.concatenate([[-1], np.arange(-1 - k, -1), used])  # start, then states, then classes
         values = np.concatenate([into[0][None], into[1], into[2][used]])
@@ -306,14 +314,16 @@ def _step(rows: DataFrame, model: Model, prior: np.ndarray) -> Model:
 
 
 def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    """(row, classes) to (row, path_score)."""
+    """Rows of _encoded, with path_score in place of classes and others."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    slim = rows.drop("classes", "others")
+    names = [*slim.columns, "path_score"]
 
     def run(batches):
-        for b, flat, sizes in _lists(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.log10(flat, sizes))], names=["row", "path_score"])
+        for b, flat, sizes in _lists(batches, len(names) - 1):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.log10(flat, sizes))], names=names)
 
-    return rows.select("row", "classes").mapInArrow(run, "row bigint, path_score double")
+    return rows.select(*slim.columns, "classes").mapInArrow(run, StructType([*slim.schema.fields]).add("path_score", "double"))
 
 
 def score(docs: DataFrame, held_out, states: int = 6, steps: int = 3) -> DataFrame:
@@ -328,7 +338,6 @@ def score(docs: DataFrame, held_out, states: int = 6, steps: int = 3) -> DataFra
     training = rows.filter(~F.col("held_out"))
     for _ in range(steps):
         model = _step(training, model, voc.start)
-    paths = save(_scored(rows, model), "paths")
     # The words that aren't frequent, by way of the table of counts.
     rest = F.element_at(F.array(*[F.lit(float(x)) for x in voc.rest]), F.col("ending") + 1)
     others = rows.filter("others != ''").select("row", F.explode(F.split("others", " ")).alias("other"))
@@ -338,7 +347,7 @@ def score(docs: DataFrame, held_out, states: int = 6, steps: int = 3) -> DataFra
     cls = F.pmod(F.crc32(F.when(F.octet_length("other") > 3, F.substring("other", -3, 3)).otherwise(F.col("other"))), F.lit(ENDINGS)).cast("int")
     x = x.select("row", F.log10(F.coalesce("c", F.lit(0)) + 1).alias("lc"), F.col("c").isNotNull().cast("bigint").alias("known"), cls.alias("ending"))
     x = x.groupBy("row").agg(F.sum("lc").alias("other_base"), F.sum(F.col("lc") - rest).alias("other_score"), F.sum("known").alias("other_known")).withColumnRenamed("row", "row_")
-    out = rows.drop("classes", "others").join(paths.withColumnRenamed("row", "row_p"), F.col("row") == F.col("row_p")).join(x, F.col("row") == F.col("row_"), "left")
+    out = _scored(rows, model).join(x, F.col("row") == F.col("row_"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("other_known")).alias("n_known"), F.lit(voc.n).cast("bigint").alias("train_tokens"),

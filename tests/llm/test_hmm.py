@@ -2,10 +2,13 @@
 
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +117,37 @@ def test_pieces_of_a_text_are_no_starts():
     assert np.allclose(m.stationary() @ m.move, m.stationary()) and math.isclose(m.stationary().sum(), 1)
 
 
+def test_a_training_step_holds_few_tokens(spark):
+    """Texts of any length: what a step allocates doesn't grow with them, and its sums are those of all pieces at once."""
+    r = np.random.default_rng(4)
+    m, sizes = model(6, 300), [1_000_000, 1, 700, 512, 399_999]
+    flat = r.integers(0, 300, sum(sizes))
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype(np.int32), pa.array(flat, pa.int16()))], names=["classes"])
+
+    class Rows:
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+        select = groupBy = agg = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            tracemalloc.start()
+            (self.out,) = run([batch])
+            self.peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return self
+
+        def collect(self):
+            return list(zip(*self.out.to_pydict().values()))
+
+    rows, prior = Rows(), np.full(300, 1 / 300)
+    got = hmm._step(rows, m, prior)
+    assert rows.peak < 24 * len(flat) + 140 * (1 << 18)  # the classes and the pieces' sizes, and a bounded rest
+    cut = [[hmm.PIECE] * (n // hmm.PIECE) + [n % hmm.PIECE] * (n % hmm.PIECE > 0) for n in sizes]
+    into = [np.zeros(6), np.zeros((6, 6)), np.zeros((300, 6))]
+    m.expected(flat, np.concatenate(cut), into, np.concatenate([[k == 0 for k in range(len(c))] for c in cut]))
+    want = Model.fitted(*into, prior)
+    assert all(np.allclose(getattr(got, k), getattr(want, k), rtol=1e-9, atol=0) for k in ("start", "move", "emit"))
+
+
 def test_words_in_a_class_sum_to_one(spark, sf, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 300)
     monkeypatch.setattr(hmm, "OWN", 50)
