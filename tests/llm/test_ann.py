@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force: recall, exact scores, ties, odd vectors."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm import ann
@@ -85,3 +86,58 @@ def test_odd_vectors(spark):
     assert out == [(0, 1, 20, 1.0), (0, 2, 1, 0.4), (20, 1, 0, 1.0), (20, 2, 1, 0.4)]
     assert nearest(usable(df.filter("vec_id = 3")), F.lit(True)).collect() == []
     assert nearest(usable(df.filter("vec_id = 0")), F.lit(True)).collect() == []
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def spread(kind, n, d):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(n, d))
+    if kind == "tight clusters":
+        return unit(unit(r.normal(size=(12, d)))[r.integers(0, 12, n)] + 0.01 * x)
+    if kind == "clusters of all scales":
+        return unit(unit(r.normal(size=(8, d)))[r.integers(0, 8, n)] + np.exp(r.uniform(-7, 0, (n, 1))) * x)
+    if kind == "nearly the same":
+        return unit(1 + 0.05 * x)
+    if kind == "few long ones":
+        x[r.choice(n, 40, replace=False)] *= 50
+    if kind == "queries unlike the rest":
+        x[::20, 4:] *= 0.02
+    if kind == "no negative, many ties":
+        return (x > 1.6) * 1.0 + (np.arange(d) == 0)
+    if kind == "large":
+        x *= 1e25
+    if kind == "small":
+        x *= 1e-25
+    return x
+
+
+@pytest.mark.parametrize("kind", ["tight clusters", "clusters of all scales", "nearly the same", "few long ones", "queries unlike the rest", "no negative, many ties", "large", "small"])
+def test_nothing_near_is_missed(spark, monkeypatch, kind):
+    for k, v in {"SAMPLE": 600, "BLOCK": 500, "CHUNK": 50}.items():
+        monkeypatch.setattr(ann, k, v)
+    n = 4000
+    x = spread(kind, n, 32).astype(np.float32)
+    rows = nearest(usable(frame(spark, range(n), x)), F.col("id") % 20 == 0).collect()
+    got, y = {(r.query_id, r.rank): (r.vec_id, r.score) for r in rows}, x.astype(np.float64)
+    want = {(q, i + 1): w for q in range(0, n, 20) for i, w in enumerate(brute(np.arange(n), y, q))}
+    assert got.keys() == want.keys()
+    assert np.allclose([got[k][1] for k in want], [w[1] for w in want.values()], rtol=1e-12, atol=0)
+    assert sum(got[k][0] == w[0] for k, w in want.items()) >= 0.999 * len(want)  # sums in another order may swap neighbours
+
+
+def test_small_steps_of_a_block(spark, monkeypatch):
+    for k, v in {"SAMPLE": 300, "BLOCK": 200, "CHUNK": 9, "WINDOW": 30, "HELD": 100, "COMPONENTS": 200, "PROBES": 1}.items():
+        monkeypatch.setattr(ann, k, v, raising=False)
+    x = np.random.default_rng(8).integers(0, 3, size=(3000, 6)).astype(np.float32)  # many copies and exact ties
+    x[:, 0] += 1
+    by = compare(nearest(usable(frame(spark, range(3000), x)), F.col("id") % 60 == 0).collect(), np.arange(3000), x.astype(np.float64), 1)
+    assert all([v for _, v, _ in got] == [v for v, _ in brute(np.arange(3000), x.astype(np.float64), q)] for q, got in by.items())
+
+
+def test_copies_that_a_block_leaves_out():
+    r = np.random.default_rng(9)
+    x, ids = r.integers(0, 3, (2000, 4)).astype(np.float32), r.permutation(2000)
+    assert ann._few_copies(x, ids, 7).tolist() == [i for i in range(2000) if ((x == x[i]).all(axis=1) & (ids < ids[i])).sum() < 7]
